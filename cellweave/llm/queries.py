@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import Workspace, table
-from . import frequency, groups
+from . import frequency, groups, leakage, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,21 @@ def p4_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir)[0].frequencies()
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p4_found": p4_found, "p4_frequency": p4_frequency}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_frequency": p4_frequency,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+}
 
 _COUNTED = """
 select data_type, value, count(distinct cell_id) as cells, count(distinct sheet_id) as sheets
