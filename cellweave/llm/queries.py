@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import Workspace, table
-from . import frequency, groups, leakage, tokenizer
+from . import frequency, groups, language, leakage, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,12 +41,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_labels"))
+    return found.select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_labels"))
+    return language.corrections(found).select("doc_id", "seg_no", "lang")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_frequency": p4_frequency,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
 }
 
 _COUNTED = """
