@@ -75,20 +75,30 @@ def grams(numbers: np.ndarray, n: int = GRAM) -> np.ndarray:
     return np.where(known, key, 0).astype(np.int64)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman score of two word sequences, and the longest run of equal successive words."""
-    cols = np.arange(len(b) + 1)
-    row, run = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64)
-    score = longest = 0
-    for x in a:
-        same = (b == x) & (x > 0)
-        step = np.zeros_like(row)
-        step[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP))
-        row = np.maximum.accumulate(step - GAP * cols) + GAP * cols  # a gap in b of any length
-        now = np.zeros_like(run)
-        now[1:] = np.where(same, run[:-1] + 1, 0)
+def align_many(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Smith-Waterman score of each pair of word sequences, and its longest run of equal successive words."""
+    def padded(parts: list[np.ndarray], fill: int) -> np.ndarray:
+        out = np.full((len(parts), max(map(len, parts), default=0)), fill, np.int32)
+        for k, part in enumerate(parts):
+            out[k, : len(part)] = part
+        return out
+
+    a, b = padded(left, -1), padded(right, -2)
+    b[b == 0] = -2  # an unknown word equals none
+    shape = (len(left), b.shape[1] + 1)
+    slope = GAP * np.arange(shape[1], dtype=np.int32)
+    row, run = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+    score, longest = np.zeros(len(left), np.int32), np.zeros(len(left), np.int32)
+    for t in range(a.shape[1]):
+        same = b == a[:, t : t + 1]
+        step = np.zeros(shape, np.int32)
+        step[:, 1:] = np.maximum(np.maximum(row[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), row[:, 1:] + GAP), 0)
+        row = np.maximum.accumulate(step - slope, axis=1) + slope  # a gap on the right of any length
+        now = np.zeros(shape, np.int32)
+        now[:, 1:] = (run[:, :-1] + 1) * same
         run = now
-        score, longest = max(score, int(row.max())), max(longest, int(run.max()))
+        np.maximum(score, row.max(axis=1, initial=0), out=score)
+        np.maximum(longest, run.max(axis=1, initial=0), out=longest)
     return score, longest
 
 
@@ -179,25 +189,41 @@ def alignments(documents: DataFrame, items: DataFrame, least: int = MATCH * RUN)
         frequency = in_corpus.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
         seeds = _seeds(_keyed(own, ["item_id"]), frequency)
         pairs = in_corpus.join(seeds, "gram").groupBy("doc_id", "part").agg(F.collect_set("item_id").alias("items"))  # at most one block of items
-        scored = pairs.join(stretches, ["doc_id", "part"]).select("doc_id", "items", "numbers").mapInArrow(_score(texts, least), f"doc_id bigint, item_id {items.schema['item_id'].dataType.simpleString()}, score int, longest int")
+        # few bytes but much work: spread over all tasks, which adaptive merging of small partitions would undo
+        spread = pairs.join(stretches, ["doc_id", "part"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part")
+        scored = spread.select("doc_id", "items", "numbers").mapInArrow(_score(texts, least), f"doc_id bigint, item_id {items.schema['item_id'].dataType.simpleString()}, score int, longest int")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("item_id"), F.lit(0).alias("score"), F.lit(0).alias("longest")).filter("false")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest").alias("longest"))
 
 
+#: Cells of the padded right sides that are aligned at once.
+_CELLS = 60_000
+
+
 def _score(texts, least: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for doc, items, numbers in zip(*(c.to_pylist() for c in batch.columns)):
-                stretch = np.array(numbers, np.int64)
-                for item in items:
-                    score, longest = map(max, zip(*(align(text, stretch) for text in texts.value[item])))
-                    if score >= least:
-                        rows.append((doc, item, score, longest))
+            pairs = [
+                (doc, item, text, stretch)
+                for doc, items, numbers in zip(*(c.to_pylist() for c in batch.columns))
+                for stretch in [np.array(numbers, np.int32)]
+                for item in items
+                for text in texts.value[item]
+            ]
+            pairs.sort(key=lambda p: len(p[3]))
+            rows, at = [], 0
+            while at < len(pairs):
+                upto = at + 1
+                while upto < len(pairs) and (upto - at + 1) * len(pairs[upto][3]) <= _CELLS:
+                    upto += 1
+                group = pairs[at:upto]
+                at = upto
+                score, longest = align_many([p[2] for p in group], [p[3] for p in group])
+                rows += [(p[0], p[1], x, y) for p, x, y in zip(group, score.tolist(), longest.tolist()) if x >= least]
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field("items").type.value_type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "item_id", "score", "longest"])
 
