@@ -47,7 +47,7 @@ FUNCTION_WORDS = {
 }
 
 _TOKEN = re.compile(
-    "[a-zß-ɏḀ-ỿ]+|[Ѐ-ԯ]+|[぀-ヿㇰ-ㇿｦ-ﾟ]+|[㐀-䶿一-鿿豈-﫿]+"
+    "[a-z\u00df-\u024f\u1e00-\u1eff]+|[\u0400-\u052f]+|[\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f]+|[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+"
 )
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 #: Longest run of one CJK script that is told apart by its length.
@@ -72,11 +72,11 @@ def paragraphs(text: str) -> list[str]:
 
 def _script(token: str) -> str:
     first = token[0]
-    if first < "Ѐ":
+    if first < "\u0400":
         return "latin"
-    if first < "԰":
+    if first < "\u0530":
         return "cyrillic"
-    return "kana" if first < "㐀" or first >= "ｦ" else "han"
+    return "kana" if first < "\u3400" or first >= "\uff66" else "han"
 
 
 class WordScores:

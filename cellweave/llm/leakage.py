@@ -42,8 +42,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _NUMBER = re.compile(r"\[\d+\]")
-_DIVIDED = re.compile(r"(?<=\w)[-‐­][ \t\r]*\n\s*(?=\w)")
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
+_DIVIDED = re.compile("(?<=\\w)[-\u2010\u00ad][ \\t\\r]*\n\\s*(?=\\w)")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
 

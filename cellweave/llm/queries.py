@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import Workspace, table
-from . import frequency, groups, language, leakage, tokenizer
+from . import frequency, groups, language, leakage, lookalike, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.cell_groups(table(spark, sf_dir, "cells"), table(spark, sf_dir, "cell_links"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_look(table(spark, sf_dir, "cells"), table(spark, sf_dir, "terms"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = [r[0] for r in table(spark, sf_dir, "terms").select("label").collect()]
+    values = table(spark, sf_dir, "cells").select("value").distinct()
+    return lookalike.forms(values, "value", labels)
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[frequency.TermCounts, int]:
     cells = table(spark, sf_dir, "cells")
     store = frequency.TermCounts(spark, Workspace(spark, "counts").root)
@@ -53,6 +63,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p4_found": p4_found,
     "p4_frequency": p4_frequency,
     "p6_ids": p6_ids,
