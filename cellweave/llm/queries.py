@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import Workspace, table
-from . import frequency, groups, language, leakage, lookalike, tokenizer
+from . import canonical, frequency, groups, language, leakage, lookalike, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,18 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.forms(values, "value", labels)
 
 
+_SLOTS = {1: "collated_1", 2: "collated_2"}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.mapped(table(spark, sf_dir, "collated"), table(spark, sf_dir, "canon"), _SLOTS)
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    collated = table(spark, sf_dir, "collated")
+    return canonical.unmatched(canonical.mapped(collated, table(spark, sf_dir, "canon"), _SLOTS), collated, _SLOTS)
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[frequency.TermCounts, int]:
     cells = table(spark, sf_dir, "cells")
     store = frequency.TermCounts(spark, Workspace(spark, "counts").root)
@@ -65,6 +77,8 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
     "p4_frequency": p4_frequency,
     "p6_ids": p6_ids,
