@@ -108,23 +108,32 @@ def year_probability(value: Column, first: float = 1600, last: float = 2100, alp
     return F.coalesce(made, F.lit(0.0))
 
 
-def votes(value: Column, prior: Column, categorical: Column) -> dict[str, Column]:
-    """Number of single detectors that give each type; a prior type other than character takes all ten."""
-    text = bare(value)
-    numbers = [is_numeric(text), is_numeric(text, exclude_dates=False), is_numeric(text, "relaxed"), is_numeric(text, "strict")]
-    single = {
-        "numeric": numbers,
-        "date": [is_date(text), is_date(F.regexp_replace(text, "fy", ""), "extra")],
-        "time": [is_time(text), is_time(text, exclude_numbers=False)],
-        "logical": [is_logical(text)],
-        "categorical": [categorical],
+def detectors(text: Column) -> Column:
+    """The single detectors over a bare text as one struct, so that each pattern is matched once."""
+    tests = {
+        "n_plain": is_numeric(text),
+        "n_any": is_numeric(text, exclude_dates=False),
+        "n_relaxed": is_numeric(text, "relaxed"),
+        "n_strict": is_numeric(text, "strict"),
+        "d_plain": is_date(text),
+        "d_extra": is_date(F.regexp_replace(text, "fy", ""), "extra"),
+        "t_plain": is_time(text),
+        "t_any": is_time(text, exclude_numbers=False),
+        "l": is_logical(text),
+        "blank": text == "",
     }
-    blank = text == ""
-    kept = prior.isin(*[t for t in TYPES if t != "character"])
-    counts = {t: reduce(lambda a, b: a + b, [c.cast("int") for c in cs]) for t, cs in single.items()}
+    return F.struct(*[c.alias(n) for n, c in tests.items()])
+
+
+def votes(found: Column, prior: Column, categorical: Column) -> dict[str, Column]:
+    """Number of single detectors that give each type; a prior type other than character takes all ten."""
+    single = {"numeric": ["n_plain", "n_any", "n_relaxed", "n_strict"], "date": ["d_plain", "d_extra"], "time": ["t_plain", "t_any"], "logical": ["l"]}
+    counts = {t: reduce(lambda a, b: a + b, [found[n].cast("int") for n in ns]) for t, ns in single.items()}
+    counts["categorical"] = categorical.cast("int")
     counts["character"] = F.lit(10) - reduce(lambda a, b: a + b, counts.values())
+    kept = prior.isin(*[t for t in TYPES if t != "character"])
     return {
-        t: F.when(blank, F.lit(10 if t == "blank" else 0)).when(kept, F.when(prior == t, 10).otherwise(0)).otherwise(counts.get(t, F.lit(0)))
+        t: F.when(found["blank"], F.lit(10 if t == "blank" else 0)).when(kept, F.when(prior == t, 10).otherwise(0)).otherwise(counts.get(t, F.lit(0)))
         for t in TYPES
     }
 
@@ -150,19 +159,21 @@ def classify(cells: DataFrame, sheet: list[str], value: str = "value", prior: st
         base = base.withColumn("_many", F.lit(method == "simple"))
     else:
         raise ValueError(f"method is auto, simple or probable, not {method!r}")
-    found = votes(v, p, categorical)
+    base = base.withColumn("_text", bare(v)).withColumns({"_found": detectors(F.col("_text")), "_p": p, "_cat": categorical, "_y": year_probability(v)})
+    p, f = F.col("_p"), F.col("_found")
     base = (
         base.withColumn("_kinds", F.collect_set(p).over(over))  # at most the recognised types and a few others
-        .withColumn("_year", F.max(year_probability(v)).over(over) > 0.6)
+        .withColumn("_votes", F.array(*[votes(f, p, F.col("_cat"))[t] for t in TYPES]))
+        .withColumn("_year", F.max("_y").over(over) > 0.6)
     )
     taken = F.size(F.array_except("_kinds", F.array(F.lit("character"), F.lit("blank")))) > 0
     taken = taken & (F.size(F.array_except("_kinds", F.array(*map(F.lit, TYPES)))) == 0)
     share = {}
-    for t in TYPES:
+    for i, t in enumerate(TYPES):
         bonus = F.when(taken & (p == t), 1).otherwise(0)
         weight = F.lit(WEIGHTS[t]) + F.when(taken & F.array_contains("_kinds", t), 1).otherwise(0)
-        share[t] = F.least((found[t] + bonus) / weight, F.lit(1.0))
-    year = year_probability(v)
+        share[t] = F.least((F.col("_votes")[i] + bonus) / weight, F.lit(1.0))
+    year = F.col("_y")
     share["date"] = share["date"] + F.when(F.col("_year"), 0.5 * year).otherwise(0.0)
     share["numeric"] = F.when(F.col("_year"), F.greatest(share["numeric"] - 0.5 * year, F.lit(0.0))).otherwise(share["numeric"])
     base = base.withColumn("_share", F.array(*[share[t].cast("double") for t in TYPES]))
@@ -170,7 +181,8 @@ def classify(cells: DataFrame, sheet: list[str], value: str = "value", prior: st
     top = F.element_at(F.array(*map(F.lit, TYPES)), F.array_position("_share", F.array_max("_share")).cast("int"))
     char_like = F.greatest(*[s[t] for t in ("logical", "date", "time", "categorical", "character")])
     total = F.nullif(s["numeric"] + char_like + s["blank"], F.lit(0.0))
-    plain = plain_type(v, p, categorical)
+    first = F.when(f["blank"], "blank").when(f["t_plain"], "time").when(f["d_plain"], "date").when(f["l"], "logical").when(f["n_plain"], "numeric").when(F.col("_cat"), "categorical").otherwise("character")
+    plain = F.when(p.isin(*TYPES) & (p != "character"), p).otherwise(first)
     extra = [c for c in base.columns if c.startswith("_")]
     return base.select(
         *[c for c in cells.columns if c not in ("type", "PoA", "PoV")],
