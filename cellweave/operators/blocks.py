@@ -114,7 +114,7 @@ def covering_boxes(cells: DataFrame, by: list[str], share: float = 0.95) -> Data
         counts = cells.groupBy(*by, axis).agg(F.count("*").alias("_n"))
         w = Window.partitionBy(*by)
         part = counts.withColumn("_p", F.sum("_n").over(w.orderBy(axis)) / F.sum("_n").over(w))
-        parts.append(part.groupBy(*by).agg(F.min(F.when(F.col("_p") >= low, F.col(axis))).alias(f"{tag}_min"), F.min(F.when(F.col("_p") >= high - 1e-12, F.col(axis))).alias(f"{tag}_max")))
+        parts.append(part.groupBy(*by).agg(F.min(F.when(F.col("_p") >= low - 1e-12, F.col(axis))).alias(f"{tag}_min"), F.min(F.when(F.col("_p") >= high - 1e-12, F.col(axis))).alias(f"{tag}_max")))
     return parts[0].join(parts[1], by)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,8 +95,6 @@ def rename_by_content(df: DataFrame, names: dict[str, list[str]], patterns: dict
 
 
 def _lcs_udf():
-    import pandas as pd
-
     @F.pandas_udf(T.IntegerType())
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
         """Length of the longest common substring."""

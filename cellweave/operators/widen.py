@@ -114,7 +114,7 @@ def parse_as(kind: Column, value: Column) -> Column:
 
 
 #: Stored bytes of resolved headers up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 
 
 def register_entries(cells: DataFrame, header_map: DataFrame, sheets: DataFrame, fields: DataFrame, layout: str = "register") -> DataFrame:

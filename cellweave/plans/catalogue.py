@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import widen_queries
+from . import cell_queries, widen_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**widen_queries.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**widen_queries.QUERIES, **cell_queries.QUERIES}
+SQL: dict[str, str] = {**cell_queries.SQL}
