@@ -10,7 +10,7 @@ from ..sources.read import cells_of
 
 def arriving_cells(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Streaming cells of new files under ``folder``."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", max_files).load(folder)
     return cells_of(files)
 
 
