@@ -81,8 +81,8 @@ class TermCounts:
         else:
             touched = None
         keyed.write.mode("overwrite").partitionBy("_bucket").parquet(out)
-        written = self.spark.read.parquet(out)
-        made = {r[0] for r in written.select("_bucket").distinct().collect()} if "_bucket" in written.columns else set()
+        written = self.spark.read.schema(f"{self.SCHEMA}, _bucket int").parquet(out)
+        made = {r[0] for r in written.select("_bucket").distinct().collect()}
         for b in touched if touched is not None else made:
             self.versions.pop(b, None)
         self.versions |= {b: out for b in made}
