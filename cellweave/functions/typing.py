@@ -73,11 +73,11 @@ def is_numeric(text: Column, level: str = "most_relaxed", exclude_dates: bool =
 
 
 def is_date(text: Column, level: str = "base") -> Column:
-    return text.rlike(f"^({DATE[level]})$")
+    return text.rlike("[0-9]") & text.rlike(f"^({DATE[level]})$")  # a cheap test first: most texts have no figure
 
 
 def is_time(text: Column, exclude_numbers: bool = True) -> Column:
-    found = text.rlike(TIME_ONLY)
+    found = text.rlike("[0-9]") & text.rlike(TIME_ONLY)
     return found & ~text.rlike(NUMBER["most_relaxed"]) if exclude_numbers else found
 
 

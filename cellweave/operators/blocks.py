@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,32 +26,30 @@ def _run_keys(cells: DataFrame, by: list[str]) -> DataFrame:
     return found.withColumns({"_rid": F.col("col").cast("bigint") * (1 << 31) + F.col("_rr"), "_cid": F.col("row").cast("bigint") * (1 << 31) + F.col("_cr")})
 
 
-def _in_one_task(keyed: DataFrame, by: list[str]) -> DataFrame:
+def _in_one_task(keyed: DataFrame, by: list[str], buckets: int = 8) -> DataFrame:
+    """Whole sheets labelled in Python, many sheets a call: ``buckets`` keeps a call near ``SHEET_CELLS`` cells."""
     import pandas as pd
+    from pyspark.sql import types as T
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for r, c in zip(pdf["_rid"], pdf["_cid"]):
-            a, b = (0, int(r)), (1, int(c))
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-        pdf["_gid"] = [find((0, int(r)))[1] for r in pdf["_rid"]]
-        return pdf
-
-    from pyspark.sql import types as T
+        sheet = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        rows = pdf.assign(_s=sheet).groupby(["_s", "_rid"], sort=True).ngroup().to_numpy()  # in the order of labels
+        cols = pdf.assign(_s=sheet).groupby(["_s", "_cid"], sort=False).ngroup().to_numpy()
+        name = np.zeros(rows.max() + 1, np.int64)
+        name[rows] = pdf["_rid"].to_numpy()
+        least = np.arange(len(name))
+        while True:
+            over = np.full(cols.max() + 1, len(name))
+            np.minimum.at(over, cols, least[rows])
+            now = least.copy()
+            np.minimum.at(now, rows, over[cols])
+            if (now == least).all():
+                break
+            least = now[now]  # a label's own label is a shortcut
+        return pdf.assign(_gid=name[least[rows]]).drop(columns="_bucket")
 
     schema = T.StructType([*keyed.schema.fields, T.StructField("_gid", T.LongType())])
-    return keyed.groupBy(*by).applyInPandas(label, schema)
+    return keyed.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets))).groupBy("_bucket").applyInPandas(label, schema)
 
 
 def _iterated(keyed: DataFrame, by: list[str]) -> DataFrame:
@@ -74,12 +73,15 @@ def components(cells: DataFrame, by: list[str], name: str = "gid", method: str =
     if method == "auto":
         # the input is written once, so that looking for large sheets does not compute it again
         cells = Workspace(cells.sparkSession, "cells").write(cells)
-        large = cells.groupBy(*by).count().filter(F.col("count") > SHEET_CELLS).select(*by)
+        sizes = cells.groupBy(*by).count()
+        large = sizes.filter(F.col("count") > SHEET_CELLS).select(*by)
+        total = sizes.agg(F.sum("count")).first()[0] or 0
+        buckets = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHEET_CELLS))
         if large.isEmpty():
-            labelled = _in_one_task(_run_keys(cells, by), by)
+            labelled = _in_one_task(_run_keys(cells, by), by, buckets)
         else:
             big = _iterated(_run_keys(cells.join(large, by, "left_semi"), by), by)
-            labelled = _in_one_task(_run_keys(cells.join(large, by, "left_anti"), by), by).unionByName(big)
+            labelled = _in_one_task(_run_keys(cells.join(large, by, "left_anti"), by), by, buckets).unionByName(big)
     else:
         keyed = _run_keys(cells, by)
         labelled = _in_one_task(keyed, by) if method == "grouped" else _iterated(keyed, by)
