@@ -135,8 +135,9 @@ def validate(cells: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return cells
 
 
-def to_matrix(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Dense rows ``c1…c<width>`` of each sheet; ``width`` is the largest column, blank rows vanish."""
+def to_matrix(cells: DataFrame, keys: list[str], width: int = 0) -> DataFrame:
+    """Dense rows ``c1…c<n>`` of each sheet, blank rows vanish; n is the largest column of all sheets, ``width`` at least."""
+    width = max(width, cells.agg(F.max("col")).first()[0] or 0)
     return cells.groupBy(*keys, "row").agg(*[F.max(F.when(F.col("col") == i, F.col("value"))).alias(f"c{i}") for i in range(1, width + 1)])
 
 

@@ -144,6 +144,7 @@ def as_cells_nation(spark: SparkSession, d: str) -> DataFrame:
 
 @query('select sheet_id, "row", ' + ", ".join(f"max(case when col = {i} then value end) as c{i}" for i in range(1, 13)) + ' from cells group by sheet_id, "row"')
 def cells_to_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """All columns, the 12 of the SQL at least; the SQL leaves out what lies beyond them."""
     return cell_ops.to_matrix(table(spark, d, "cells"), BY, 12)
 
 

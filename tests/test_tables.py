@@ -110,6 +110,20 @@ def test_cells_round_trip_and_checks(spark):
     assert cells.detect_adapter(spark.createDataFrame([(1, 1, "double", "2")], "row int, col int, data_type string, value string")) == "melted"
 
 
+def test_matrix_keeps_every_column(spark, tmp_path):
+    from cellweave.plans.cell_queries import QUERIES
+
+    rows = [(1, 1, 1, "a"), (1, 1, 13, "b"), (2, 1, 15, "c"), (2, 2, 2, "d")]
+    spark.createDataFrame(rows, "sheet_id long, row int, col int, value string").write.parquet(str(tmp_path / "cells.parquet"))
+    wide = QUERIES["cells_to_matrix"](spark, str(tmp_path))
+    assert wide.columns == ["sheet_id", "row", *[f"c{i}" for i in range(1, 16)]]
+    got = {(r.sheet_id, r.row, int(k[1:]), v) for r in wide.collect() for k, v in r.asDict().items() if k.startswith("c") and v is not None}
+    assert got == set(rows)
+    c = spark.createDataFrame(rows, "sheet_id long, row int, col int, value string")
+    assert cells.to_matrix(c.filter("col < 3"), ["sheet_id"]).columns == ["sheet_id", "row", "c1", "c2"]
+    assert cells.to_matrix(c.filter("false"), ["sheet_id"], 2).columns == ["sheet_id", "row", "c1", "c2"]
+
+
 def test_assignment():
     import numpy as np
 
