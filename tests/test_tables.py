@@ -85,6 +85,31 @@ def test_l_opening():
     assert lshape.opening((1, 1, 1, 2), np.array([(1, 1)])) is None
 
 
+def test_l_shape_is_found_at_any_size(spark, monkeypatch):
+    import random
+
+    random.seed(7)
+    d, a = [(0, r, c) for r in range(1, 7) for c in range(1, 7) if (r, c) == (1, 3) or r > 1 < c], [(0, 1, c) for c in (1, 2, 4, 5, 6)] + [(0, r, 1) for r in range(2, 7)]
+    for s in range(1, 80):
+        h, w, flip_r, flip_c = random.randint(1, 8), random.randint(1, 8), random.random() < 0.5, random.random() < 0.5
+        for r in range(h):
+            for c in range(w):
+                at = (s, h - r if flip_r else r + 1, w - c if flip_c else c + 1)
+                edge = r == 0 or c == 0 or random.random() < 0.02
+                if random.random() < (0.8 if edge else 0.02):
+                    a.append(at)
+                elif random.random() < 0.95:
+                    d.append(at)
+    data, attr = (spark.createDataFrame(x, "s int, row int, col int") for x in (d, a))
+    got = []
+    for limit in (blocks.SHEET_CELLS, 1, 20):  # all groups in tasks, all by aggregates, some of either
+        monkeypatch.setattr(blocks, "SHEET_CELLS", limit)
+        got.append([{tuple(r) for r in x.collect()} for x in lshape.impose(data, attr, ["s"])])
+    assert got[0] == got[1] == got[2]
+    assert (0, 1, 3) not in {x[:3] for x in got[1][0]} and (0, 1, 3) in {x[:3] for x in got[1][1]}
+    assert len({x[0] for x in set(d) - {x[:3] for x in got[0][0]}}) > 10
+
+
 def test_pipeline_on_a_cross_table(spark):
     both = sheet(spark, [["Kid Name", "Weight", "Age"], ["Nakshatra", "12", "1.5"], ["Titas", "16", "6"]]).unionByName(sheet(spark, [["only", "words"]], "t"))
     analysis = structure.analyze(typing.classify(both, BY), BY)
