@@ -3,6 +3,8 @@
 ``signed_deltas`` turns only the added, changed and deleted records of a batch into changes of counts per
 (term, sheet): +1 for each after-image, -1 for each before-image.  ``TermCounts`` keeps the counts as a
 versioned table partitioned by a hash of the term; ``merge`` rewrites only partitions that a batch touches.
+A manifest beside the data names the current version of each partition; it appears as a whole after a merge, so
+that a store opened again goes on from the last finished merge and an aborted one leaves no trace in the counts.
 Record counts (in how many sheets) stay exact under deletes because counts are kept by (term, sheet).
 
 A term that holds a third of all cells is pre-aggregated in every map task and spread over its sheets; the
@@ -15,10 +17,14 @@ rows of one cell_id the latest ``loaded_at`` counts (ties: the larger content);
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..store import Workspace
+from ..store import Workspace, names_in, read_text, write_text_once
 
 TERM = ["data_type", "value"]
 
@@ -52,12 +58,22 @@ def signed_deltas(after: DataFrame | None = None, before: DataFrame | None = Non
 
 
 class TermCounts:
-    """Persistent counts ``data_type, value, sheet_id, cells`` in ``buckets`` partitions by term."""
+    """Persistent counts ``data_type, value, sheet_id, cells`` in ``buckets`` partitions by term.
+
+    What lies under ``path`` is opened, with the number of buckets it was made with.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.versions: dict[int, str] = {}  # bucket -> folder of its current version
-        self._n = 0
+        self._n = max((int(m[1]) for m in map(re.compile(r"manifest-(\d+)\.json").fullmatch, names_in(spark, self.path)) if m), default=0)
+        if self._n:
+            kept = json.loads(read_text(spark, self._manifest(self._n)))
+            self.buckets = kept["buckets"]
+            self.versions = {int(b): f"{self.path}/{folder}" for b, folder in kept["versions"].items()}
+
+    def _manifest(self, n: int) -> str:
+        return f"{self.path}/manifest-{n}.json"
 
     SCHEMA = "data_type string, value string, sheet_id bigint, cells bigint"
 
@@ -68,10 +84,14 @@ class TermCounts:
         return self.spark.read.schema(self.SCHEMA).parquet(*keep)
 
     def merge(self, deltas: DataFrame) -> "TermCounts":
-        """Fold a batch of deltas in; untouched partitions are neither read nor written."""
+        """Fold a batch of deltas in; untouched partitions are neither read nor written.
+
+        An error, and no change, where the store has been changed since it was opened here.
+        """
         keyed = deltas.withColumn("_bucket", F.pmod(F.xxhash64(*TERM), F.lit(self.buckets)).cast("int"))
-        self._n += 1
-        out = f"{self.path}/v{self._n}"
+        n = self._n + 1
+        folder = f"v{n}-{uuid.uuid4().hex[:12]}"  # never one that a manifest names
+        out = f"{self.path}/{folder}"
         if self.versions:
             work = Workspace(self.spark, "deltas")
             keyed = work.write(keyed)
@@ -80,12 +100,14 @@ class TermCounts:
             keyed = keyed.unionByName(old).groupBy(*TERM, "sheet_id", "_bucket").agg(F.sum("cells").alias("cells")).filter("cells <> 0")
         else:
             touched = None
-        keyed.write.mode("overwrite").partitionBy("_bucket").parquet(out)
+        keyed.write.partitionBy("_bucket").parquet(out)
         written = self.spark.read.schema(f"{self.SCHEMA}, _bucket int").parquet(out)
         made = {r[0] for r in written.select("_bucket").distinct().collect()}
-        for b in touched if touched is not None else made:
-            self.versions.pop(b, None)
-        self.versions |= {b: out for b in made}
+        versions = {b: p for b, p in self.versions.items() if touched is not None and b not in touched} | {b: out for b in made}
+        text = json.dumps({"buckets": self.buckets, "versions": {b: p.rsplit("/", 1)[1] for b, p in sorted(versions.items())}})
+        if not write_text_once(self.spark, self._manifest(n), text):
+            raise RuntimeError(f"{self.path} has been changed by another writer: open it again and repeat the merge")
+        self._n, self.versions = n, versions
         return self
 
     def frequencies(self) -> DataFrame:

@@ -22,20 +22,54 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """File system and path object of ``path``."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _at(spark, path)
+    fs.delete(target, True)
 
 
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes stored under ``path``."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, target = _at(spark, path)
     return int(fs.getContentSummary(target).getLength())
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in the folder ``path``; none where there is no such folder."""
+    fs, target = _at(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _at(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a new file as a whole or not at all; False where ``path`` is there already."""
+    fs, target = _at(spark, path)
+    part = f"{path}.{uuid.uuid4().hex[:12]}.part"
+    _, made = _at(spark, part)
+    stream = fs.create(made)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not fs.exists(target) and fs.rename(made, target):
+        return True
+    fs.delete(made, False)
+    return False
+
+
 class Workspace:
     """Tables one operator call writes; ``drop`` removes a superseded one, the rest goes at exit."""
 

@@ -66,6 +66,25 @@ def test_counts_follow_signed_deltas(spark, tmp_path):
     assert frequency.TermCounts(spark, str(tmp_path / "e")).merge(frequency.signed_deltas(after=latest.filter("false"))).frequencies().collect() == []
 
 
+def test_counts_outlive_the_object(spark, tmp_path):
+    records = lambda *rows: spark.createDataFrame([(*r, T1, 0) for r in rows], RECORDS)
+    opened = lambda: frequency.TermCounts(spark, str(tmp_path / "s"))
+    counts = lambda store: {(r.data_type, r.value): (r.cells, r.sheets) for r in store.frequencies().collect()}
+    first = records(*[(i, i % 3, "n", str(i % 40)) for i in range(120)])
+    frequency.TermCounts(spark, str(tmp_path / "s"), buckets=4).merge(frequency.signed_deltas(after=first))
+    expected = {("n", str(v)): (3, 3) for v in range(40)}
+    assert counts(opened()) == expected
+    opened().merge(frequency.signed_deltas(after=records((200, 7, "n", "5")), before=records((6, 0, "n", "6"))))
+    expected |= {("n", "5"): (4, 4), ("n", "6"): (2, 2)}
+    store, late = opened(), opened()
+    assert (counts(store), store.buckets, store._n) == (expected, 4, 2)
+    (tmp_path / "s" / "v3-aborted").mkdir()  # a merge that never ended
+    store.merge(frequency.signed_deltas(after=records((201, 8, "n", "new"))))
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.merge(frequency.signed_deltas(after=records((202, 8, "n", "lost"))))
+    assert counts(opened()) == expected | {("n", "new"): (1, 1)}
+
+
 def test_look_alikes(spark):
     terms = spark.createDataFrame([(1, "Côte nord"), (2, "Cote nord"), (3, "Floor area m²"), (4, "Floor area m2"), (5, "Self-supply ratio"), (6, "ガス ポンプ"), (7, "Resistance in Ω"), (8, "office"), (9, None)], "term_id int, label string")
     same = {"Côte nord": 1, "﻿Соte nоrd ": 2, "Ｆｌｏｏｒ area m²": 3, "Floor area m２": 4, "Self‐supply rat⁠io": 5, "ｶﾞｽ ﾎﾟﾝﾌﾟ": 6, "Resistance in \u2126": 7, "oﬃce": 8, " office ": 8}
