@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -132,6 +133,8 @@ class SlotMatcher:
         for alias, i in self.aliases.items():
             self.compact.setdefault(alias.replace(" ", ""), i)
         self.texts = list(self.compact)
+        # letters of the longest text that may be close to an entry: edits and a decoration that sticks to it included
+        self.reach = max(map(len, self.texts), default=0) + _allowed(99) + max(map(len, DECORATIONS))
         self.bags = np.array([_bag(t) for t in self.texts], np.int16).reshape(len(self.texts), 27)
         self.memo: dict[str, int] = {}
         self._known: dict[str, list[tuple[str, int]]] = {}
@@ -176,16 +179,21 @@ class SlotMatcher:
     def _name(self, ws: list[str]) -> int:
         """Closest entry to any window of words, if there is one."""
         best: dict[int, int] = {}
-        n = min(len(ws), 8)
-        for i in range(n):
-            for j in range(i + 1, min(i + 5, n) + 1):
-                rest = ws[:i] + ws[j:]
-                if any(w in self.holders for w in rest if w not in DECORATIONS):
+        # how many words before each place are the list's own, and how many no decoration
+        own = [0, *accumulate(w in self.holders and w not in DECORATIONS for w in ws)]
+        plain = [0, *accumulate(w not in DECORATIONS for w in ws)]
+        for i in range(len(ws)):
+            letters = 0
+            for j in range(i + 1, len(ws) + 1):
+                letters += len(ws[j - 1])
+                if letters > self.reach:
+                    break
+                if own[-1] > own[j] - own[i]:
                     continue
-                strange = sum(w not in DECORATIONS for w in rest)
+                strange = plain[-1] - plain[j] + plain[i]
                 for text in self._joined(ws[i:j]):
                     for entry, far in self._close(text):
-                        best[entry] = min(best.get(entry, 99), 10 * strange + far)
+                        best[entry] = min(best.get(entry, 10 * strange + far), 10 * strange + far)
         if not best:
             return 0
         low = min(best.values())

@@ -117,6 +117,15 @@ def test_towns(value, expected):
     assert canonical.SlotMatcher(TOWNS).match(value) == expected
 
 
+@pytest.mark.parametrize("value,expected", [
+    ("the old part of the town in the north Halthelhvan", 5), ("near the centre of the town in the county of Upr Polstvoik", 2),
+    ("we moved there with all our goods and both dogs, see note below: Halthelhvan, as was said", 5), ("word " * 5000 + "Halthelhvan", 5),
+    ("F e n m a l i h a v n o n W e n t", 4), ("word " * 20, 0), ("near the centre of the town in the county of Polstovik", 0),
+])
+def test_towns_in_long_entries(value, expected):
+    assert canonical.SlotMatcher(TOWNS).match(value) == expected
+
+
 @pytest.mark.parametrize("value,expected", [
     ("Clerk, Orchard Signal", 11), ("Orchard Clerk", 11), ("senior glass qualtiy fitter", 12), ("Qual. Fitter", 12), ("FSL", 13), ("Ferry and Survey Lab.", 13), ("Parcel-Packing", 14),
     ("ParcelPacking Coord.", 14), ("Fitter (Glass / Quality)", 12), ("Glass Signal Foreman", 0), ("Glass", 0), ("yoga coach", 0),
