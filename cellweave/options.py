@@ -7,16 +7,17 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import SparkSession
 
 
+#: Options of the survey that have no effect here: an error wherever they are set.
+UNSUPPORTED = ("finalize_through_stages", "collate_on_whole", "pairwise_join_limit")
+
+
 @dataclass(frozen=True)
 class Options:
     derive_nice_names: bool = True
     reduced_orientations: bool = False
     check_entrapment_on_full_overlap: bool = True
-    finalize_through_stages: bool = False
     finalize_till: str = "collate"
-    collate_on_whole: bool = True
     delink_corner_headers: bool = False
-    pairwise_join_limit: int = 1000
     focus_range: tuple[float, float] = (float("-inf"), float("inf"))
     focus_absolute_range: tuple[float, float] = (0.0, float("inf"))
     single_block_filter: bool = False
@@ -25,6 +26,9 @@ class Options:
     @classmethod
     def of(cls, spark: SparkSession, **given: object) -> "Options":
         """Given values first, then the session's, then the defaults."""
+        preset = [f for f in UNSUPPORTED if spark.conf.get(f"cellweave.{f}", None) is not None]
+        if preset:
+            raise ValueError(f"not supported: {', '.join(preset)}")
         out = cls()
         for f in fields(cls):
             preset = spark.conf.get(f"cellweave.{f.name}", None)

@@ -207,6 +207,18 @@ def test_options(spark):
     spark.conf.unset("cellweave.single_block_filter")
 
 
+@pytest.mark.parametrize("name", ["finalize_through_stages", "collate_on_whole", "pairwise_join_limit"])
+def test_options_without_effect_are_refused(spark, name):
+    with pytest.raises(TypeError):
+        Options(**{name: 0})
+    spark.conf.set(f"cellweave.{name}", "false")
+    try:
+        with pytest.raises(ValueError, match=name):
+            Options.of(spark)
+    finally:
+        spark.conf.unset(f"cellweave.{name}")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from cellweave.sources.read import read_documents
     from cellweave.streaming.arrivals import store_arrivals
