@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import Workspace
+
 KEY = ["doc", "sheet"]
 #: The recognised formats of a cell.
 FORMATS = ("numeric", "character", "logical", "date", "time", "categorical", "blank")
@@ -32,17 +34,34 @@ def format_of(kind: T.DataType) -> str | None:
     return None
 
 
+def _numbered(df: DataFrame, names: list[str], order: list[str], first: int) -> DataFrame:
+    """Texts ``_v0…`` of the columns ``names``, with the row's place by ``order`` after ``first`` in ``_row``."""
+    keys = [f"_o{i}" for i in range(len(order))]
+    texts = [F.col(f"`{c}`").cast("string").alias(f"_v{i}") for i, c in enumerate(names)]
+    ranged = df.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *texts).repartitionByRange(*keys)
+    # written once: the partitions must be the same when they are counted and when they are numbered
+    ranged = Workspace(df.sparkSession, "rows").write(ranged.withColumn("_part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in ranged.groupBy("_part").count().collect())  # one row a partition
+    starts, before = [], 0
+    for part, n in counts:
+        starts += [F.lit(part), F.lit(before)]
+        before += n
+    offset = F.create_map(*starts)[F.col("_part")] if starts else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return ranged.withColumn("_row", (place + offset + first).cast("int"))
+
+
 def as_cells(df: DataFrame, order: list[str], sheet: str = "sheet_default", doc: str = "", columns: list[str] | None = None, include_names: bool = True) -> DataFrame:
     """A wide table as cells; rows are numbered by ``order``, which must be a total order.
 
-    Column names become row 1 (unless not included); columns of nested types are dropped.  Numbering all
-    rows of one sheet is one window over the sheet: a sheet is meant to be read by people.
+    Column names become row 1 (unless not included); columns of nested types are dropped.  Rows are sorted by
+    range and numbered in each partition from the count of those before, so no task holds the sheet.
     """
     names = [c for c in (columns or df.columns) if format_of(df.schema[c].dataType)]
     first = 1 if include_names else 0
-    numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) + first)
+    numbered = _numbered(df, names, order, first)
     cell = [
-        F.struct(F.lit(i + 1).alias("col"), F.lit(format_of(df.schema[c].dataType)).alias("data_type"), F.col(f"`{c}`").cast("string").alias("value"))
+        F.struct(F.lit(i + 1).alias("col"), F.lit(format_of(df.schema[c].dataType)).alias("data_type"), F.col(f"_v{i}").alias("value"))
         for i, c in enumerate(names)
     ]
     body = numbered.select("_row", F.inline(F.array(*cell))).select(F.col("_row").alias("row"), "col", "data_type", "value")

@@ -142,6 +142,17 @@ def as_cells_nation(spark: SparkSession, d: str) -> DataFrame:
     return cell_ops.as_cells(table(spark, d, "nation"), ["n_nationkey"], columns=["n_nationkey", "n_name", "n_regionkey"]).select("row", "col", "data_type", "value")
 
 
+@query("""
+with n as (select *, row_number() over (order by o_orderkey) + 1 as r from orders)
+select * from (
+  select 1 as "row", 1 as col, 'character' as data_type, 'o_orderkey' as value union all select 1, 2, 'character', 'o_custkey' union all select 1, 3, 'character', 'o_orderstatus'
+  union all select r::int, 1, 'numeric', o_orderkey::varchar from n union all select r::int, 2, 'numeric', o_custkey::varchar from n union all select r::int, 3, 'character', o_orderstatus from n
+) where value is not null
+""")
+def as_cells_orders(spark: SparkSession, d: str) -> DataFrame:
+    return cell_ops.as_cells(table(spark, d, "orders"), ["o_orderkey"], columns=["o_orderkey", "o_custkey", "o_orderstatus"]).select("row", "col", "data_type", "value")
+
+
 @query('select sheet_id, "row", ' + ", ".join(f"max(case when col = {i} then value end) as c{i}" for i in range(1, 13)) + ' from cells group by sheet_id, "row"')
 def cells_to_matrix(spark: SparkSession, d: str) -> DataFrame:
     """All columns, the 12 of the SQL at least; the SQL leaves out what lies beyond them."""

@@ -149,6 +149,14 @@ def test_matrix_keeps_every_column(spark, tmp_path):
     assert cells.to_matrix(c.filter("false"), ["sheet_id"], 2).columns == ["sheet_id", "row", "c1", "c2"]
 
 
+def test_rows_are_numbered_without_one_task(spark):
+    df = spark.range(2000).select(((F.col("id") * 7919) % 2000).alias("k"), F.col("id").cast("string").alias("x"))
+    made = cells.as_cells(df, ["k"], include_names=False)
+    assert {r.row: r.value for r in made.filter("col = 1").collect()} == {k + 1: str(k) for k in range(2000)}
+    assert "SinglePartition" not in made._jdf.queryExecution().executedPlan().toString()
+    assert cells.as_cells(df.filter("false"), ["k"]).count() == 2
+
+
 def test_assignment():
     import numpy as np
 
