@@ -11,4 +11,4 @@ from . import cell_queries, widen_queries
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {**widen_queries.QUERIES, **cell_queries.QUERIES}
-SQL: dict[str, str] = {**cell_queries.SQL}
+SQL: dict[str, str] = {**widen_queries.SQL, **cell_queries.SQL}

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import widen
-from ..store import table
+from ..store import Workspace, table
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The batches of all years of loading, each a run of its own, merged."""
     fields = table(spark, sf_dir, "fields")
     schema = widen.field_schema(fields)
     entries = widen.register_entries(table(spark, sf_dir, "cells"), table(spark, sf_dir, "attr_data_map"), table(spark, sf_dir, "sheets"), fields)
-    return widen.to_deltas(entries, schema), schema
+    batch = F.coalesce(F.year("version").cast("string"), F.lit("0"))
+    return widen.WideStore(spark, Workspace(spark, "wide").root, schema).upsert(entries.withColumn("_batch", batch)).latest(), schema
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,3 +29,63 @@ def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_wide": p5_wide}
+
+#: Blanks that pad a cell, for the SQL's patterns.
+_B = r"[ \t\r\n\f\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_TIME = r"([t ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?z?)?"
+_NAMES = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec"
+_PLAIN = r"((\d{1,3}(,\d{3})+|\d{1,3}( \d{3})+|\d{1,3}(''\d{3})+|\d+)(\.\d*)?|\.\d+)([eE][+-]?\d{1,3})?"
+
+
+def _day(pattern: str, year: int, month: int, day: int, named: bool = False) -> str:
+    """Day number by one spelling of dates: the places of year, month and day among the pattern's groups."""
+    part = lambda k: f"regexp_extract(l, '{pattern}', {k})"
+    number = f"((strpos('janfebmaraprmayjunjulaugsepoctnovdec', left({part(month)}, 3)) + 2) // 3)::varchar" if named else part(month)
+    made = f"try_cast({part(year)} || '-' || lpad({number}, 2, '0') || '-' || lpad({part(day)}, 2, '0') as date)"
+    return f"when regexp_matches(l, '{pattern}') then ({made} - date '1970-01-01')::bigint"
+
+
+_DATES = " ".join(
+    [_day(rf"^(\d{{4}}){s}(\d{{1,2}}){s}(\d{{1,2}}){_TIME}$", 1, 2, 3) for s in ("-", "/", r"\.")]
+    + [_day(rf"^(\d{{1,2}}){s}(\d{{1,2}}){s}(\d{{4}}){_TIME}$", 3, 2, 1) for s in ("-", "/", r"\.")]
+    + [
+        _day(r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
+        _day(rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ /.-]+({_NAMES})\.?[ /.,-]+(\d{{4}}){_TIME}$", 3, 2, 1, True),
+        _day(rf"^({_NAMES})\.?[ -]+(\d{{1,2}})(?:st|nd|rd|th)?,?[ -]+(\d{{4}}){_TIME}$", 3, 1, 2, True),
+        _day(rf"^(\d{{4}})[ /.-]+({_NAMES})\.?[ /.-]+(\d{{1,2}}){_TIME}$", 1, 2, 3, True),
+    ]
+)
+
+_ENTRIES = rf"""
+c as (select distinct sheet_id, "row", col, loaded_at, value, regexp_replace(regexp_replace(value, '^{_B}+', ''), '{_B}+$', '') as t from cells where value is not null),
+n as (select field, data_type as kind, regexp_replace(lower(field), '[-_]|{_B}', '', 'g') as k from fields where field is not null),
+h as (select distinct m.sheet_id, m."row", m.col, n.field, n.kind from attr_data_map m
+  join sheets s on s.sheet_id = m.sheet_id and s.layout = 'register' join c on c.sheet_id = m.sheet_id and c."row" = m."row" and c.col = m.col
+  join n on n.k = regexp_replace(lower(c.value), '[-_\x{{2010}}\x{{2011}}]|{_B}', '', 'g')),
+e as (select c.sheet_id, c."row", h.field, h.kind, c.loaded_at, c.t, lower(c.t) as l,
+    regexp_replace(replace(replace(c.t, chr(8722), '-'), chr(8217), ''''), '[\x{{a0}}\x{{202f}}\x{{2009}}\x{{2007}}]', ' ', 'g') as u
+  from c join h on h.sheet_id = c.sheet_id and h.col = c.col and c."row" > h."row" where c.t <> ''),
+p as (select *, regexp_matches(u, '^([+-]? ?{_PLAIN}|{_PLAIN} ?[+-]|\( ?{_PLAIN} ?\))$') as is_number,
+    regexp_replace(regexp_replace(u, '^[-+( ]+|[-+) ]+$|[, '']', '', 'g'), '\.$', '') as digits, regexp_matches(u, '^[-(]|-$') as minus from e),
+v as (select sheet_id, "row", field, kind, loaded_at, case when kind = 'character' then t end as txt, case
+    when kind = 'numeric' and is_number and abs(try_cast(digits as double)) < 1e18 then
+      try_cast(round(case when minus then -1 else 1 end * case when contains(lower(digits), 'e') then try_cast(digits as double)::decimal(38, 6) else try_cast(digits as decimal(38, 6)) end * 1000) as bigint)
+    when kind = 'date' and length(t) >= 8 then case {_DATES} end
+    when kind = 'logical' and l in ('true', 't', 'yes', 'y', '1') then 1 when kind = 'logical' and l in ('false', 'f', 'no', 'n', '0') then 0 end as num from p),
+w as (select sheet_id, "row", field, kind, num, txt from v
+  qualify row_number() over (partition by sheet_id, "row", field order by loaded_at desc nulls last, num desc nulls last, txt desc nulls last) = 1)
+"""
+
+#: The fields of the test data by type, which are the columns of the wide table.
+_FIELDS = {
+    "character": "colour band, grade note, handler team, packaging, storage aisle",
+    "date": "best before, contract end, inspected on, last moved, received on",
+    "logical": "fragile, is active, needs cooling, passed check",
+    "numeric": "balance carried, batch cost, gross weight, moisture share, net weight, pallet count, reading delta, shelf length, stock level, unit price",
+}
+_TYPED = {"numeric": "(num / 1000)::decimal(24, 3)", "date": "date '1970-01-01' + num::int", "logical": "num = 1", "character": "txt"}
+
+SQL = {
+    "p5_found": f'with {_ENTRIES} select sheet_id, "row", field, num as val from w where num is not null',
+    "p5_wide": f'with {_ENTRIES} select sheet_id, "row", ' + ", ".join(f"""max(case when field = '{f}' then {_TYPED[k]} end) as "{widen.slug(f)}\"""" for k, fs in _FIELDS.items() for f in fs.split(", ")) + ' from w group by sheet_id, "row"',
+}

@@ -1,12 +1,15 @@
 """Written intermediate tables in the folder all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it back.  The folder is the
-session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a local one is set.
+session's ``spark.checkpoint.dir``, else the checkpoint folder of its context; only a session in one process
+(tests, notebooks) may do without, in a temporary folder of its own.
 """
 
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import tempfile
 import uuid
 
@@ -14,9 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, or one of our own if the session names none."""
+    """The folder all executors share; an error where a session of several machines names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = named.get() if named.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -70,14 +78,64 @@ def write_text_once(spark: SparkSession, path: str, text: str) -> bool:
     return False
 
 
+class Manifest:
+    """What a store consists of: numbered files beside its data, each written once and as a whole.
+
+    The one with the highest number counts; a write that ended before its manifest leaves no trace.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, empty: dict):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.n = max((int(m[1]) for m in map(re.compile(r"manifest-(\d+)\.json").fullmatch, names_in(spark, self.path)) if m), default=0)
+        self.body: dict = json.loads(read_text(spark, f"{self.path}/manifest-{self.n}.json")) if self.n else empty
+
+    def folder(self) -> str:
+        """Name of a new folder, never one that a manifest names."""
+        return f"v{self.n + 1}-{uuid.uuid4().hex[:12]}"
+
+    def commit(self, body: dict) -> None:
+        """Make ``body`` what counts; an error, and no change, where another writer was first."""
+        if not write_text_once(self.spark, f"{self.path}/manifest-{self.n + 1}.json", json.dumps(body)):
+            raise RuntimeError(f"{self.path} has been changed by another writer: open it again and repeat the merge")
+        self.n, self.body = self.n + 1, body
+
+    def vacuum(self, live: set[str]) -> list[str]:
+        """Delete folders of data that ``live`` does not name, and the manifests before the current one."""
+        gone = [x for x in names_in(self.spark, self.path) if (x.startswith("v") and x not in live) or (x.startswith("manifest-") and x != f"manifest-{self.n}.json")]
+        for name in gone:
+            _delete(self.spark, f"{self.path}/{name}")
+        return gone
+
+
+#: Folders of operator calls that are still there, by session.
+_OPEN: dict[str, SparkSession] = {}
+
+
+def clean(spark: SparkSession | None = None) -> None:
+    """Delete the intermediate tables of all operator calls so far (of one session); at exit it is done anyway.
+
+    A long session calls it when the results it still needs are written.
+    """
+    for root, owner in list(_OPEN.items()):
+        if spark is None or owner is spark:
+            del _OPEN[root]
+            try:
+                _delete(owner, root)
+            except Exception:  # the JVM is gone already
+                pass
+
+
+atexit.register(clean)
+
+
 class Workspace:
-    """Tables one operator call writes; ``drop`` removes a superseded one, the rest goes at exit."""
+    """Tables one operator call writes; ``drop`` removes a superseded one, ``clean`` the rest."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._next = 0
-        atexit.register(self._clean)
+        _OPEN[self.root] = spark
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it read back: no lineage, sizes known to the planner."""
@@ -94,12 +152,6 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         _delete(self.spark, df._cellweave_path)
 
-    def _clean(self) -> None:
-        try:
-            _delete(self.spark, self.root)
-        except Exception:  # the JVM is gone already
-            pass
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -76,3 +76,46 @@ def test_empty(spark):
     schema = widen.field_schema(fields)
     assert widen.to_long(widen.to_deltas(widen.register_entries(empty, heads, sheets, fields), schema), schema).collect() == []
     assert widen.register_entries(c, heads, sheets, fields.filter("false")).collect() == []
+
+
+def test_store_of_runs(spark, tmp_path):
+    schema = [("net weight", "numeric"), ("note", "character")]
+    kind = "sheet_id long, row int, field string, kind string, value string, version timestamp, _batch string, junk string"
+    batch = lambda *rows: spark.createDataFrame([(1, r, "note" if k == "character" else "net weight", k, v, t, b, "x") for r, k, v, t, b in rows], kind)
+    opened = lambda: widen.WideStore(spark, str(tmp_path / "w"), schema, fanout=3)
+    rows = lambda: {(r.row, r.net_weight, r.note) for r in widen.typed(opened().latest(), schema).collect()}
+    assert rows() == set()
+    opened().upsert(batch((2, "numeric", "1", T1, "a"), (2, "numeric", "2", T2, "b"), (3, "character", " x ", None, "a")))
+    assert rows() == {(2, 2, None), (3, None, "x")}
+    opened().upsert(batch((2, "numeric", "9", T2, "a")))  # a batch that is there already
+    assert rows() == {(2, 2, None), (3, None, "x")}
+    gone = spark.createDataFrame([(1, 3, "note", T2, "c")], "sheet_id long, row int, field string, version timestamp, _batch string")
+    opened().upsert(batch((4, "numeric", "5", T1, "c")), deletes=gone)
+    store = opened()
+    assert [len(x) for x in store.manifest.body["levels"]] == [0, 1]  # three runs became one of the next level
+    assert rows() == {(2, 2, None), (3, None, None), (4, 5, None)}
+    assert len(store.vacuum()) > 0 and rows() == {(2, 2, None), (3, None, None), (4, 5, None)}
+    late, now = opened(), opened().upsert(batch((4, "numeric", "6", T2, "d")))
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.upsert(batch((4, "numeric", "7", T2, "e")))
+    assert now.latest().count() == 3
+
+
+def test_shared_folder(spark, monkeypatch):
+    from cellweave import store
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        store.shared_dir(Session)
+    work = store.Workspace(spark, "t")
+    kept = work.write(spark.range(3))
+    assert work.bytes(kept) > 0
+    store.clean(spark)
+    assert store.names_in(spark, work.root) == []
