@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cellweave-"))
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
 
 

@@ -101,12 +101,14 @@ def test_store_of_runs(spark, tmp_path):
     assert now.latest().count() == 3
 
 
-def test_shared_folder(spark, monkeypatch):
+def test_shared_folder(spark):
     from cellweave import store
 
     class Context:
         master = "spark://host:7077"
-        _jsc = spark.sparkContext._jsc
+
+        class _jsc:
+            sc = staticmethod(lambda: type("Sc", (), {"getCheckpointDir": staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))}))
 
     class Session:
         conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
