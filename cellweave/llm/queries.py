@@ -42,7 +42,7 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[frequency.TermCounts, int]:
     cells = table(spark, sf_dir, "cells")
     store = frequency.TermCounts(spark, Workspace(spark, "counts").root)
-    store.merge(frequency.signed_deltas(after=frequency.latest_records(cells)))
+    store.catch_up(frequency.changes(cells, F.year("loaded_at")))  # a batch for each year of loading
     return store, cells.select(F.count_distinct("sheet_id")).first()[0]
 
 

@@ -5,6 +5,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import canonical, frequency, groups, language, leakage, lookalike, tokenizer
 
@@ -77,7 +78,7 @@ def test_counts_outlive_the_object(spark, tmp_path):
     opened().merge(frequency.signed_deltas(after=records((200, 7, "n", "5")), before=records((6, 0, "n", "6"))))
     expected |= {("n", "5"): (4, 4), ("n", "6"): (2, 2)}
     store, late = opened(), opened()
-    assert (counts(store), store.buckets, store._n) == (expected, 4, 2)
+    assert (counts(store), store.buckets, store.manifest.n) == (expected, 4, 2)
     (tmp_path / "s" / "v3-aborted").mkdir()  # a merge that never ended
     store.merge(frequency.signed_deltas(after=records((201, 8, "n", "new"))))
     with pytest.raises(RuntimeError, match="another writer"):
@@ -85,6 +86,30 @@ def test_counts_outlive_the_object(spark, tmp_path):
     assert counts(opened()) == expected | {("n", "new"): (1, 1)}
 
 
+def test_batches_with_before_images(spark, tmp_path):
+    random.seed(11)
+    T3 = datetime(2025, 5, 1)
+    rows = [(random.randrange(40), random.randrange(4), random.choice("ab"), random.choice(["5", "6", " ", None]), random.choice([T1, T2, T3, None]), 0) for _ in range(300)]
+    rows += [(99, 1, "a", "5", t, 0) for t in (T1, T2, T3)] + [(None, 1, "a", "5", T1, 0)]
+    cells = spark.createDataFrame(rows, RECORDS)
+    batch = F.date_format("loaded_at", "yyyyMM")
+    counts = lambda store: sorted(map(tuple, store.frequencies().collect()), key=str)
+    whole = frequency.TermCounts(spark, str(tmp_path / "w")).merge(frequency.signed_deltas(after=frequency.latest_records(cells)))
+    every = frequency.changes(cells, batch)
+    assert every.filter("sign < 0").count() > 0
+    assert counts(frequency.TermCounts(spark, str(tmp_path / "a"), buckets=3).catch_up(every)) == counts(whole)
+    opened = lambda: frequency.TermCounts(spark, str(tmp_path / "b"), buckets=3, max_runs=2)
+    for name in sorted(r[0] for r in every.select("_batch").distinct().collect()):  # one after another, each sent twice
+        part = every.filter(F.col("_batch") == name)
+        opened().catch_up(part)
+        opened().catch_up(part)
+    assert counts(opened()) == counts(whole)
+    assert max(map(len, opened().runs.values())) <= 2
+    opened().vacuum()
+    assert counts(opened()) == counts(whole)
+    assert opened().merge(frequency.signed_deltas(after=cells), batch="202501x").manifest.n == opened().merge(frequency.signed_deltas(after=cells), batch="202501x").manifest.n
+
+
 def test_look_alikes(spark):
     terms = spark.createDataFrame([(1, "Côte nord"), (2, "Cote nord"), (3, "Floor area m²"), (4, "Floor area m2"), (5, "Self-supply ratio"), (6, "ガス ポンプ"), (7, "Resistance in Ω"), (8, "office"), (9, None)], "term_id int, label string")
     same = {"Côte nord": 1, "﻿Соte nоrd ": 2, "Ｆｌｏｏｒ area m²": 3, "Floor area m２": 4, "Self‐supply rat⁠io": 5, "ｶﾞｽ ﾎﾟﾝﾌﾟ": 6, "Resistance in \u2126": 7, "oﬃce": 8, " office ": 8}
