@@ -5,17 +5,21 @@ much less likely it is there than in its best language; Viterbi over the words o
 for switching, labels spans, and the language that carries most of the paragraph's informative words is its
 label.  Single foreign words, names and formulas cost less than two switches, and a heading is outweighed.
 
-The word scores are fitted on a bounded sample of labelled documents (``PER_LANGUAGE`` a language, chosen by a
-hash of the id, hand-made labels and stored ones); paragraphs whose function words speak against the label are
-left out of the fit, as stored labels may be wrong.  Everything else runs over all rows: one map over Arrow
-batches without a shuffle, whole texts, every paragraph.
+Languages are those with function words here, those a script stands for alone, and every other language that the labels
+given to ``fit`` name often enough.  The word scores are fitted on a bounded sample of labelled documents
+(``PER_LANGUAGE`` a language, chosen by a hash of the id, hand-made labels and stored ones); paragraphs whose function
+words speak against the label are left out of the fit, as stored labels may be wrong.  Words are counted where the
+texts lie; the driver sees counts.  Everything else runs over all rows: one map over Arrow batches without a shuffle,
+whole texts, every paragraph.
 
 Where the best single language loses less than one switch would cost, no path with switches can be better, so
 only the other paragraphs go through the trellis, many at a time.
 
 Defined results: null and blank texts have no row; blank paragraphs are not counted; a paragraph without any
-informative word takes the document's language with confidence 0, a document without any has no row; if no
-language has more than half of the paragraphs the one with most, then most words, is the document's.
+informative word, or in a script without a language here, takes the document's language with confidence 0; a document
+of only such paragraphs is ``und`` with confidence 0, and no label is corrected to that; confidence falls where few
+words are known; if no language has more than half of the paragraphs the one with most, then most words, is the
+document's.
 """
 
 from __future__ import annotations
@@ -29,10 +33,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "ru", "zh", "ja")
-LATIN = LANGUAGES[:6]
+#: Languages by script; a script with one language stands for it.
+SCRIPTS = {"latin": ["en", "de", "fr", "es", "pt", "nl"], "cyrillic": ["ru"], "kana": ["ja"], "han": ["zh", "ja"], "greek": ["el"], "hangul": ["ko"], "hebrew": ["he"], "thai": ["th"], "armenian": ["hy"], "georgian": ["ka"]}
+#: What a text is in where nothing speaks for a language.
+UNKNOWN = "und"
+#: Stored labels of a language without function words here from which on it is fitted; one hand-made label is enough.
+LABELLED = 30
 #: Sampled documents of each language for the fit, from either kind of label.
 PER_LANGUAGE = 150
+#: Share of known words from which on confidence does not fall for want of them.
+SURE = 0.4
 #: Cost of a switch, and the most that one word can speak against a language.
 SWITCH, FLOOR = 6.0, -4.0
 
@@ -46,9 +56,23 @@ FUNCTION_WORDS = {
     "nl": "de het een en van in is dat op te met voor zijn niet aan er door bij ook als uit naar of wordt worden deze tussen die om tot dan maar wanneer volgens terwijl kan",
 }
 
-_TOKEN = re.compile(
-    "[a-z\u00df-\u024f\u1e00-\u1eff]+|[\u0400-\u052f]+|[\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f]+|[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+"
-)
+#: Ranges of letters by script, words of which are told apart; Greek letters of formulas stand alone.
+_RANGES = {
+    "latin": "[a-z\u00df-\u024f\u1e00-\u1eff]+",
+    "cyrillic": "[\u0400-\u052f]+",
+    "kana": "[\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f]+",
+    "han": "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+",
+    "greek": "[\u0370-\u03ff\u1f00-\u1fff]{3,}",
+    "hangul": "[\u1100-\u11ff\u3130-\u318f\uac00-\ud7a3]+",
+    "hebrew": "[\u0590-\u05ff]{2,}",
+    "thai": "[\u0e00-\u0e7f]{2,}",
+    "armenian": "[\u0530-\u058f]{2,}",
+    "georgian": "[\u10a0-\u10ff\u1c90-\u1cbf]{2,}",
+    "other": "[\u0600-\u08ff\u0900-\u0dff\u0e80-\u10ff\u1200-\u139f\u1780-\u17ff]{2,}",
+}
+_TOKEN = re.compile("|".join(_RANGES.values()))
+#: Letters that are not in the Russian alphabet.
+_NOT_RUSSIAN = re.compile("[\u0400\u0402-\u040f\u0450\u0452-\u052f]")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 #: Longest run of one CJK script that is told apart by its length.
 _RUN = 24
@@ -70,21 +94,23 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in _BREAK.split(text) if p.strip()]
 
 
+_ONE = {name: re.compile(pattern[: pattern.index("]") + 1]) for name, pattern in _RANGES.items()}
+
+
 def _script(token: str) -> str:
     first = token[0]
-    if first < "\u0400":
+    if first < "\u0370":
         return "latin"
-    if first < "\u0530":
-        return "cyrillic"
-    return "kana" if first < "\u3400" or first >= "\uff66" else "han"
+    return next(name for name, one in _ONE.items() if one.match(first))
 
 
 class WordScores:
     """Rows of scores by language for words; words outside the vocabulary share a row of their script."""
 
-    def __init__(self, counts: dict[str, Counter]):
-        n = len(LANGUAGES)
-        at = {lang: i for i, lang in enumerate(LANGUAGES)}
+    def __init__(self, counts: dict[str, Counter], scripts: dict[str, list[str]] = SCRIPTS):
+        self.languages = [*dict.fromkeys(lang for langs in scripts.values() for lang in langs), UNKNOWN]
+        n = len(self.languages)
+        at = {lang: i for i, lang in enumerate(self.languages)}
         rows, weights = [], []
 
         def add(row: np.ndarray, weight: float) -> int:
@@ -97,30 +123,48 @@ class WordScores:
             row[[at[x] for x in langs]] = 0
             return row
 
-        self.unknown = {"latin": add(only(*LATIN, other=-1.0), 0.0), "cyrillic": add(only("ru"), 1.0)}
+        self.sole_russian = scripts["cyrillic"] == ["ru"]
+        self.unknown = {
+            name: add(only(*langs), 1.0) if len(langs) == 1 else add(only(*langs, UNKNOWN, other=-1.0), 0.0)
+            for name, langs in scripts.items() if name not in ("kana", "han")
+        }
+        self.unknown["other"] = add(only(UNKNOWN), 1.0)
         self.runs = {"kana": [], "han": []}
         for k in range(_RUN + 1):
             self.runs["kana"].append(add(only("ja"), k / 2))
             han = only("zh", "ja")
             han[at["ja"]] = -0.5
             self.runs["han"].append(add(han, k / 2))
-        vocabulary = sorted(set().union(*(counts.get(lang, ()) for lang in LATIN)))
-        if vocabulary:
-            seen = np.array([[counts.get(lang, {}).get(w, 0) for lang in LATIN] for w in vocabulary], float)
+        self.known: dict[str, int] = {}
+        blocks, heavy, upto = [np.array(rows)], [np.array(weights)], len(rows)
+        for name, langs in scripts.items():
+            if name in ("kana", "han") or len(langs) == 1:
+                continue
+            vocabulary = sorted(w for w in set().union(*(counts.get(lang, ()) for lang in langs)) if _script(w) == name)
+            if not vocabulary:
+                continue
+            seen = np.array([[counts.get(lang, {}).get(w, 0) for lang in langs] for w in vocabulary], float)
             logs = np.log((seen + 0.2) / (seen.sum(axis=0) + 0.2 * len(vocabulary)))
             logs -= logs.max(axis=1, keepdims=True)
             second = np.maximum(np.sort(logs, axis=1)[:, -2:-1], FLOOR)  # near 0: a word of several languages
             full = np.repeat(np.maximum(second - 1, FLOOR), n, axis=1)
-            full[:, : len(LATIN)] = np.maximum(logs, FLOOR)
-            self.known = {w: len(rows) + i for i, w in enumerate(vocabulary)}
-            self.table = np.vstack([rows, full]).astype(np.float32)
-            self.weights = np.concatenate([weights, 1 - np.exp(second[:, 0])]).astype(np.float32)
-        else:
-            self.known, self.table, self.weights = {}, np.array(rows, np.float32), np.array(weights, np.float32)
+            full[:, [at[x] for x in langs]] = np.maximum(logs, FLOOR)
+            self.known.update({w: upto + i for i, w in enumerate(vocabulary)})
+            upto += len(vocabulary)
+            blocks.append(full)
+            heavy.append(1 - np.exp(second[:, 0]))
+        self.table = np.vstack(blocks).astype(np.float32)
+        self.weights = np.concatenate(heavy).astype(np.float32)
+        self.vague = np.zeros(len(self.table), bool)  # rows of words that nothing is known of
+        self.vague[[i for name, i in self.unknown.items() if len(scripts.get(name, ())) != 1]] = True
 
     def row(self, token: str) -> int:
         script = _script(token)
-        return self.runs[script][min(len(token), _RUN)] if script in self.runs else self.unknown[script]
+        if script in self.runs:
+            return self.runs[script][min(len(token), _RUN)]
+        if script == "cyrillic" and self.sole_russian and _NOT_RUSSIAN.search(token):
+            return self.unknown["other"]
+        return self.unknown[script]
 
     def rows(self, found: list[str]) -> list[int]:
         known, other = self.known, self.row
@@ -152,7 +196,7 @@ class Labeller:
 
     def paragraphs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number (-1: none), confidence and informative words of each paragraph."""
-        table, weights, n = self.scores.table, self.scores.weights, len(LANGUAGES)
+        table, weights, n = self.scores.table, self.scores.weights, len(self.scores.languages)
         rows = [self.scores.rows(tokens(t)) for t in texts]
         lengths = np.array([len(r) for r in rows], np.int64)
         flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
@@ -160,10 +204,12 @@ class Labeller:
         starts = ends - lengths
         sums = np.zeros((len(texts), n), np.float32)
         weight = np.zeros(len(texts), np.float32)
+        vague = np.zeros(len(texts), np.float32)
         some = lengths > 0
         if some.any():
             sums[some] = np.add.reduceat(table[flat], starts[some], axis=0)
             weight[some] = np.add.reduceat(weights[flat], starts[some])
+            vague[some] = np.add.reduceat(self.scores.vague[flat].astype(np.float32), starts[some]) / lengths[some]
         best = sums.argmax(axis=1)
         share = np.ones(len(texts), np.float32)
         open_ = np.flatnonzero((sums.max(axis=1) <= -SWITCH) & (weight > 0))
@@ -189,26 +235,28 @@ class Labeller:
         rest = sums.copy()
         rest[np.arange(len(texts)), best] = -np.inf
         margin = np.maximum(sums[np.arange(len(texts)), best] - rest.max(axis=1), 0)
-        confidence = share * (1 - np.exp(-(1 + margin) / 4))
+        confidence = share * (1 - np.exp(-(1 + margin) / 4)) * np.minimum(1, (1 - vague) / SURE)
         return np.where(weight > 0, best, -1), np.where(weight > 0, confidence, 0), weight
 
     def documents(self, texts: list[str]) -> list[list[tuple[int, str, float]]]:
         """Per text its rows (seg_no, lang, confidence): 0 for the document, 1… if its paragraphs differ."""
         parts = [paragraphs(t) for t in texts]
         lang, confidence, weight = self.paragraphs([p for ps in parts for p in ps])
-        out, at = [], 0
+        names, out, at = self.scores.languages, [], 0
         for ps in parts:
             own, sure, heavy = lang[at : at + len(ps)], confidence[at : at + len(ps)], weight[at : at + len(ps)]
             at += len(ps)
+            own = np.where(own == len(names) - 1, -1, own)  # a script without a language here
             votes = Counter(own[own >= 0].tolist())
             if not votes:
-                out.append([])
+                out.append([(0, UNKNOWN, 0.0)] if ps else [])
                 continue
             main = max(votes, key=lambda x: (votes[x], float(heavy[own == x].sum()), -x))
+            sure = np.where(own < 0, 0.0, sure)
             own = np.where(own < 0, main, own)
-            rows = [(0, LANGUAGES[main], float(np.where(own == main, sure, 0).sum() / len(ps)))]
+            rows = [(0, names[main], float(np.where(own == main, sure, 0).sum() / len(ps)))]
             if len(votes) > 1:
-                rows += [(k + 1, LANGUAGES[x], float(c)) for k, (x, c) in enumerate(zip(own, sure))]
+                rows += [(k + 1, names[x], float(c)) for k, (x, c) in enumerate(zip(own, sure))]
             out.append(rows)
         return out
 
@@ -221,30 +269,67 @@ def label_code(label: Column) -> Column:
 
 def fit(documents: DataFrame, hand: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> WordScores:
     """Word scores from function words and a bounded sample of labelled documents."""
-    counts = {lang: Counter({w: 5 for w in ws.split()}) for lang, ws in FUNCTION_WORDS.items()}
-    guess = Labeller(WordScores(counts))
-
-    def sampled(frame: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
+    prior = {lang: Counter({w: 5 for w in ws.split()}) for lang, ws in FUNCTION_WORDS.items()}
+    coded = documents.select("doc_id", label_code(F.col("lang")).alias("code")).filter("code is not null")
+    named = None if hand is None else hand.select("doc_id", label_code(F.col("lang")).alias("code")).filter("code is not null").distinct()
+    sizes = [{} if x is None else {r[0]: r[1] for r in x.groupBy("code").count().collect()} for x in (coded, named)]  # two-letter codes
+    settled = {lang for name, langs in SCRIPTS.items() if name not in ("latin", "cyrillic") for lang in langs}
+    fresh = [c for c in {*sizes[0], *sizes[1]} - settled - {x for langs in SCRIPTS.values() for x in langs} if sizes[0].get(c, 0) >= LABELLED or c in sizes[1]]
+    wanted = [lang for lang in {*sizes[0], *sizes[1]} if lang in prior or lang in fresh or (lang == "ru" and fresh)]
+    if not wanted:
+        return WordScores(prior)
+
+    def rate(of: dict[str, int]) -> Column:
         """About ``per_language`` rows of each language: the rate comes from counts over all rows."""
-        sizes = {r[0]: r[1] for r in frame.groupBy("code").count().collect()}  # at most one row per language
-        rate = F.lit(0.0)
-        for lang, size in sizes.items():
-            rate = F.when(F.col("code") == lang, per_language / size).otherwise(rate)
-        return frame.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate * 1_000_003)
-
-    coded = documents.select("doc_id", label_code(F.col("lang")).alias("code"), "text").filter(F.col("code").isin(*LATIN))
-    takes = [sampled(coded)]
-    if hand is not None:
-        named = sampled(hand.select("doc_id", label_code(F.col("lang")).alias("code")).filter(F.col("code").isin(*LATIN)).distinct())
-        takes.append(documents.select("doc_id", "text").join(F.broadcast(named), "doc_id").select("doc_id", "code", "text"))
-    for take in takes:
-        for _, code, text in take.toLocalIterator():
-            parts = paragraphs(text or "")
-            lang, _, _ = guess.paragraphs(parts)
-            for part, x in zip(parts, lang):
-                if x >= 0 and LANGUAGES[x] == code:
-                    counts[code].update(tokens(part))
-    return WordScores(counts)
+        out = F.lit(0.0)
+        for lang in wanted:
+            if of.get(lang):
+                out = F.when(F.col("code") == lang, per_language / of[lang]).otherwise(out)
+        return out * 1_000_003
+
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    labels = documents.select("doc_id", F.explode(F.array(label_code(F.col("lang")))).alias("code"), "text").filter(picked < rate(sizes[0]))
+    if named is not None:
+        # the ids first: about ``per_language`` a language, so that texts are read once for both kinds of label
+        by_hand = named.filter(picked < rate(sizes[1])).groupBy("doc_id").agg(F.collect_set("code").alias("_hand"))
+        both = documents.select("doc_id", label_code(F.col("lang")).alias("code"), "text").join(F.broadcast(by_hand), "doc_id", "left")
+        stored = F.when(picked < rate(sizes[0]), F.array("code")).otherwise(F.array().cast("array<string>"))
+        labels = both.select("doc_id", F.explode(F.concat(stored, F.coalesce("_hand", F.array().cast("array<string>")))).alias("code"), "text")
+    guess = spark.sparkContext.broadcast(vars(WordScores(prior)))
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        scores = WordScores.__new__(WordScores)
+        vars(scores).update(guess.value)
+        label = Labeller(scores)
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = paragraphs(text or "")
+                lang, _, weight = label.paragraphs(parts)
+                for part, x, heavy in zip(parts, lang, weight):
+                    words = tokens(part)
+                    own = scores.languages[x] if x >= 0 else None
+                    # of a language without function words here: where few of the others' stand
+                    if own == code or (code not in FUNCTION_WORDS and (own in ("ru", None, UNKNOWN) or heavy < 0.2 * len(words))):
+                        found.setdefault(code, Counter()).update(words)
+            rows = [(c, w, k) for c, words in found.items() for w, k in words.items()]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["code", "word", "n"])
+
+    counts = {lang: Counter(words) for lang, words in prior.items()}
+    counted = labels.select("code", "text").mapInArrow(count, "code string, word string, n bigint").groupBy("code", "word").agg(F.sum("n").alias("n"))
+    for code, word, k in counted.toLocalIterator():  # the vocabulary of the sample
+        counts.setdefault(code, Counter())[word] += k
+    scripts = {name: list(langs) for name, langs in SCRIPTS.items()}
+    for lang in sorted(fresh):
+        size = Counter(_script(w) for w in counts.get(lang, ()))
+        top = max(("latin", "cyrillic"), key=lambda name: size[name])
+        if size[top]:
+            scripts[top].append(lang)
+    return WordScores(counts, scripts)
 
 
 def languages(documents: DataFrame, hand: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -283,4 +368,4 @@ def languages(documents: DataFrame, hand: DataFrame | None = None, per_language:
 
 def corrections(found: DataFrame) -> DataFrame:
     """Of ``languages``: documents without a label or with another one, and the paragraphs of mixed ones."""
-    return found.filter((F.col("seg_no") > 0) | F.col("stored").isNull() | (F.col("stored") != F.col("lang")))
+    return found.filter(F.col("lang") != UNKNOWN).filter((F.col("seg_no") > 0) | F.col("stored").isNull() | (F.col("stored") != F.col("lang")))

@@ -16,7 +16,8 @@ the whole corpus, so what is broadcast is bounded however many items there are.
 Words are runs of letters and digits after compatibility decomposition and case folding, without accents and
 invisible characters; mark-up tags and bracketed paragraph numbers are left out, words divided at a line end
 are joined.  Defined results: null or blank texts and items hold nothing; items shorter than ``RUN`` words
-are in no document; repeated rows give one row; other columns are ignored.
+are in no document; repeated rows give one row; several texts of one item_id are each searched whole, and the item is
+in a document that holds a run of any; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def _keyed(frame: DataFrame, ids: list[str]) -> DataFrame:
 
 def _seeds(items: DataFrame, frequency: DataFrame) -> DataFrame:
     """``gram, item_id``: of every RUN successive words of an item the n-gram in the fewest documents."""
-    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, RUN - GRAM)
+    ahead = Window.partitionBy("item_id", "text_no").orderBy("pos").rowsBetween(0, RUN - GRAM)
     ranked = items.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = F.min(F.struct("df", "gram")).over(ahead)
     return ranked.select("item_id", rarest["gram"].alias("gram")).distinct()
@@ -183,11 +184,12 @@ def alignments(documents: DataFrame, items: DataFrame, least: int = MATCH * RUN)
             by_item.setdefault(item, []).append(np.array(numbers))
         texts = context.broadcast(by_item)
         stretches = work.write(_stretches(documents, shared, wanted))
-        own = spark.createDataFrame(numbered, f"item_id {items.schema['item_id'].dataType.simpleString()}, numbers array<int>")
+        # an item_id may have several texts: windows of seeds never run over two of them
+        own = spark.createDataFrame([(i, k, w) for k, (i, w) in enumerate(numbered)], f"item_id {items.schema['item_id'].dataType.simpleString()}, text_no int, numbers array<int>")
         in_corpus = _keyed(stretches, ["doc_id", "part"]).select("doc_id", "part", "gram").distinct()
         # distinct pairs first, so that a common n-gram is counted by many tasks
         frequency = in_corpus.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-        seeds = _seeds(_keyed(own, ["item_id"]), frequency)
+        seeds = _seeds(_keyed(own, ["item_id", "text_no"]), frequency)
         pairs = in_corpus.join(seeds, "gram").groupBy("doc_id", "part").agg(F.collect_set("item_id").alias("items"))  # at most one block of items
         # few bytes but much work: spread over all tasks, which adaptive merging of small partitions would undo
         spread = pairs.join(stretches, ["doc_id", "part"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part")

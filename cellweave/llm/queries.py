@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = [r[0] for r in table(spark, sf_dir, "terms").select("label").collect()]
+    labels = lookalike.model_labels(table(spark, sf_dir, "terms"))
     values = table(spark, sf_dir, "cells").select("value").distinct()
     return lookalike.forms(values, "value", labels)
 
@@ -63,6 +63,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_labels"))
     return found.select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"))
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "p4_frequency": p4_frequency,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p7_alignments": p7_alignments,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

@@ -130,6 +130,20 @@ def test_forms_agree_with_equal_looks():
     assert made.form("Rural tax receipts") != made.form("rural tax receipts")
 
 
+def test_letters_of_the_public_table(spark):
+    letters = lookalike.public_letters(spark)
+    assert len(letters) > 70 and {"\u0585": "o", "\u0261": "g", "\u0251": "a", "\u13aa": "A", "\u13df": "C", "\ua4d0": "B"}.items() <= letters.items()
+    assert not {"\u0131", "\u03b1", "\u03b3", "\u0433", "\u03c3"} & set(letters)
+    made = lookalike.Forms(["Rural tax receipts", "Gross cereal output"], letters)
+    missed = [ch for ch, base in letters.items() for word in ("Rural {}", "x{}y") if made.form(word.format(ch)) != made.form(word.format(base))]
+    assert missed == []  # recall on the whole table
+    other = [ch for ch in lookalike.UNLIKE for base in "aeiouygrAEIOUYGR" if made.form("x" + ch) == made.form("x" + base)]
+    assert other == []
+    terms = spark.createDataFrame([(1, "Cargo rate")], "term_id int, label string")
+    values = spark.createDataFrame([(1, "\u13df\u0251r\u0261\u0585 rate"), (2, "C\u03b1rgo rate"), (3, "Cargo rate")], "cell_id long, value string")
+    assert [tuple(r) for r in lookalike.same_look(values, terms).collect()] == [(1, 1)]
+
+
 TOWNS = [(1, "Lower Polstovik"), (2, "Upper Polstovik"), (3, "Saint Dunrenholtz"), (4, "Fenmalihavn-on-Wend"), (5, "Halthelhavn")]
 JOBS = [(11, "Orchard Signal Clerk"), (12, "Glass Quality Fitter"), (13, "Ferry & Survey Labourer"), (14, "Parcel Packing Coordinator"), (15, "Glass Loading Foreman")]
 
@@ -219,6 +233,19 @@ def test_leaks(spark):
     assert leakage.leaks(df, items.filter("false")).collect() == []
 
 
+def test_several_texts_of_one_item(spark):
+    other = "the a of in to and is it that was for on are as with his they at be this have from or one"
+    w = ITEM.split()
+    docs = spark.createDataFrame([(1, "x " + " ".join(w[2:14]) + " y"), (2, other), (3, ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (1, other), (1, ITEM + " and more words here")], "item_id int, text string")
+    assert {tuple(r) for r in leakage.leaks(docs, items).collect()} == {(1, 1), (2, 1), (3, 1)}
+    # the score and the longest run of each pair against a plain search of the whole text
+    words = {r.doc_id: leakage.words(r.text) for r in docs.collect()}
+    for r in leakage.alignments(docs, items).collect():
+        runs = [n for t in items.collect() for a in [leakage.words(t.text)] for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) if f" {' '.join(a[i:i + n])} " in f" {' '.join(words[r.doc_id])} "]
+        assert r.longest == max(runs) and r.score >= 2 * r.longest
+
+
 def test_every_block_of_items_is_searched(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
     items = spark.createDataFrame([(1, ITEM), (2, " ".join(reversed(ITEM.split())))], "item_id int, text string")
@@ -239,10 +266,33 @@ def test_languages(spark):
     df = spark.createDataFrame([(*r, "zz") for r in rows], "doc_id long, lang string, text string, seg_no string")
     got = {(r.doc_id, r.seg_no, r.lang) for r in language.corrections(language.languages(df)).collect()}
     assert got == {(2, 0, "en"), (3, 0, "de"), (5, 1, "en"), (5, 2, "en"), (5, 3, "de"), (7, 0, "zh"), (8, 0, "ja")}
-    assert all(0 < r.confidence <= 1 for r in language.languages(df).collect())
+    assert all(0 < r.confidence <= 1 if r.lang != "und" else r.doc_id == 11 and r.confidence == 0 for r in language.languages(df).collect())
     assert language.languages(df.filter("false")).collect() == []
 
 
+KO, EL, AR = "펌프의 온도는 한계 이하로 유지된다.", "Η θερμοκρασία της αντλίας διατηρείται κάτω από το όριο.", "تبقى درجة حرارة المضخة تحت الحد"
+UK = "Температура насоса підтримується нижче межі, якщо її вимикач рухається і пристрій увімкнено."
+IT = "La temperatura della pompa viene mantenuta sotto il limite mentre il commutatore si muove e gli altri dispositivi sono accesi."
+
+
+def test_other_languages(spark):
+    rows = [(1, "en", KO), (2, "el", EL), (3, None, AR), (4, None, UK), (5, None, IT), (6, "en", "12 345"), (7, "en", EN), (8, "de", EN + "\n\n" + AR)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {(r.doc_id, r.seg_no): (r.lang, r.confidence) for r in language.languages(df).collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] not in (4, 5)} == {(1, 0): "ko", (2, 0): "el", (3, 0): "und", (6, 0): "und", (7, 0): "en", (8, 0): "en"}
+    assert got[4, 0][0] != "ru" or got[4, 0][1] < 0.6
+    assert got[3, 0][1] == got[6, 0][1] == 0 and got[5, 0][1] < got[7, 0][1]
+    assert {(r.doc_id, r.lang) for r in language.corrections(language.languages(df)).collect()} == {(1, "ko"), (4, got[4, 0][0]), (5, got[5, 0][0]), (8, "en")} - {(4, "und"), (5, "und")}
+    # a language is fitted where labels name it
+    more = [(100 + i, "it", IT + f" parola{i}") for i in range(40)] + [(200 + i, "uk", UK) for i in range(40)] + [(300 + i, "ru", RU + " Когда пределы и насос были там, он не мог.") for i in range(40)]
+    big = df.unionByName(spark.createDataFrame(more, df.schema))
+    assert {r.lang for r in language.languages(big).filter("doc_id = 5 or doc_id between 100 and 150").collect()} == {"it"}
+    assert {(r.doc_id // 100, r.lang) for r in language.languages(big).filter("doc_id = 4 or doc_id >= 200").collect()} == {(0, "uk"), (2, "uk"), (3, "ru")}
+    hand = spark.createDataFrame([(100, "it"), (101, "it")], "doc_id long, lang string")
+    few = df.unionByName(spark.createDataFrame([(100, None, IT), (101, "en", IT)], df.schema))
+    assert {r.lang for r in language.languages(few, hand).filter("doc_id = 5 or doc_id > 99").collect()} == {"it"}
+
+
 def test_trellis_equals_exhaustive_search():
     import itertools
 
