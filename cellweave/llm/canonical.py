@@ -3,17 +3,20 @@
 1. A multi-pattern automaton over the labels and their aliases finds embedded mentions at word boundaries;
    the longest non-overlapping match wins, unless a word left over belongs to the list's own vocabulary: then
    the value names something else built of the same words.
-2. Remaining values go to token-set similarity.  In slots of names (most labels have at most two words) every
-   window of the value's words is compared with the labels whose letters differ little enough, by edit distance
-   with transpositions; in slots of titles each word is matched to the list's vocabulary (exactly, as an
-   abbreviation, or misspelt) and the entry must hold all recognised words; two words suffice if one entry
-   only holds both.  Initials of a title count where a single entry has them.
+2. Remaining values go to token-set similarity: each word is matched to the list's vocabulary (exactly, as an
+   abbreviation, or misspelt), an inverted index from words to entries gives the candidates, and an entry must hold all
+   recognised words; two words suffice if one entry only holds both.  Initials of a title count where a single entry
+   has them.  For entries of one or two words, whose letters are all there is to tell them by, every window of the
+   value's words is compared as a whole, so that words written together or apart are found too.
 3. What matches no entry, or several equally well, is reported with 0.
 
-The list is agreed and small (its patterns are the automaton); values are a table of any size, handled where
-they lie, each distinct value of an Arrow batch once.  Defined results: null and blank values are left out,
-values that are a label character for character too; labels that fall together after normalisation are
-resolved to the smaller canon_id.
+How an entry is compared depends on its own length in words only; unrelated entries change nothing.  Misspelt words are
+looked up among those of like length and letters (``Near``), abbreviations among those of the same first letter.
+
+The list is agreed and travels with the code: an error beyond ``LIST_CHARS`` characters.  Values are a table of any
+size, handled where they lie, each distinct value of an Arrow batch once.  Defined results: null and blank values are
+left out, values that are a label character for character too; labels that fall together after normalisation are
+resolved to the smaller canon_id; a value may have any number of words, known or not.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ DECORATIONS = frozenset(
 _LINKS = frozenset("and for of the on o in".split())
 _WORD = re.compile(r"[^\W\d_]+")
 MEMO = 100_000
+#: Cost of a word that abbreviates another; misspelt ones cost one more than their edits.
+ABBREVIATED = 1
+#: Characters of a reference list up to which it is handed to every task.
+LIST_CHARS = 64 << 20
 
 
 def words(text: str) -> list[str]:
@@ -47,30 +54,28 @@ def words(text: str) -> list[str]:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance with transpositions of neighbours; ``most + 1`` where it is larger than ``most``."""
+    """Edit distance with transpositions of neighbours; ``most + 1`` where it is larger than ``most``.
+
+    A column of the table of distances is kept as differences of neighbours in the bits of two numbers.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    start, stop = 0, min(len(a), len(b))
-    while start < stop and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < stop - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            now.append(cost)
-        if min(now) > most:
-            return most + 1
-        before, row = row, now
-    return min(row[-1], most + 1)
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, diagonal, before, far = every, 0, 0, 0, len(a)
+    for ch in b:
+        same = at.get(ch, 0)
+        swapped = (~diagonal & same) << 1 & before
+        diagonal = (((same & up) + up) ^ up | same | down | swapped) & every
+        right, left = (down | ~(diagonal | up)) & every, diagonal & up
+        far += 1 if right & last else -1 if left & last else 0
+        right, left = right << 1 | 1, left << 1
+        up, down, before = (left | ~(diagonal | right)) & every, right & diagonal & every, same
+    return min(far, most + 1)
 
 
 def abbreviates(short: str, long: str) -> bool:
@@ -98,6 +103,29 @@ def _bag(text: str) -> list[int]:
     return [*out, len(text) - sum(out)]
 
 
+class Near:
+    """Texts by length and letters: of those, the ones that few edits may turn into another text."""
+
+    def __init__(self, texts: list[str]):
+        self.by_length: dict[int, tuple[list[str], np.ndarray]] = {}
+        groups: dict[int, list[str]] = defaultdict(list)
+        for text in texts:
+            groups[len(text)].append(text)
+        for length, group in groups.items():
+            self.by_length[length] = group, np.array([_bag(t) for t in group], np.int16).reshape(len(group), 27)
+
+    def candidates(self, text: str, most: int) -> Iterator[str]:
+        # an edit changes at most one letter on either side, so the bags of letters of nearer texts differ by no more
+        own = None
+        for length in range(len(text) - most, len(text) + most + 1):
+            if length in self.by_length:
+                own = np.array(_bag(text), np.int16) if own is None else own
+                group, bags = self.by_length[length]
+                # letters too many on the one side and on the other sum to this; their difference is that of the lengths
+                for k in np.flatnonzero(np.abs(bags - own).sum(axis=1) <= 2 * most - abs(length - len(text))):
+                    yield group[k]
+
+
 class SlotMatcher:
     """Entries of one slot: (canon_id, label)."""
 
@@ -107,8 +135,7 @@ class SlotMatcher:
         self.entries = sorted(entries)
         self.tokens = {i: [w for w in words(label) if w not in _LINKS] or words(label) for i, label in self.entries}
         self.vocabulary = sorted({w for ws in self.tokens.values() for w in ws})
-        long = sum(len(ws) >= 3 for ws in self.tokens.values())
-        self.titles = 2 * long > len(self.entries)
+        self.short = {i for i, ws in self.tokens.items() if len(ws) < 3}
         self.holders: dict[str, set[int]] = defaultdict(set)
         for i, ws in self.tokens.items():
             for w in ws:
@@ -133,9 +160,12 @@ class SlotMatcher:
         for alias, i in self.aliases.items():
             self.compact.setdefault(alias.replace(" ", ""), i)
         self.texts = list(self.compact)
+        self.near, self.near_words = Near(self.texts), Near(self.vocabulary)
+        self.by_first: dict[str, list[str]] = defaultdict(list)
+        for v in self.vocabulary:
+            self.by_first[v[0]].append(v)
         # letters of the longest text that may be close to an entry: edits and a decoration that sticks to it included
         self.reach = max(map(len, self.texts), default=0) + _allowed(99) + max(map(len, DECORATIONS))
-        self.bags = np.array([_bag(t) for t in self.texts], np.int16).reshape(len(self.texts), 27)
         self.memo: dict[str, int] = {}
         self._known: dict[str, list[tuple[str, int]]] = {}
         self._parts: dict[str, list[str]] = {}
@@ -147,7 +177,7 @@ class SlotMatcher:
         if len(core) >= 2:
             if core != ws:
                 out |= {" ".join([*core[:-1], "o", core[-1]])}
-            if not self.titles:
+            if len(core) < 3:
                 first = core[0]
                 for short in {first[0], first[0] + first[-1], _skeleton(first)} - {first}:
                     out |= {" ".join([short, *ws[1:]]), " ".join([short + ws[1], *ws[2:]]) if len(short) > 1 else ""}
@@ -159,7 +189,7 @@ class SlotMatcher:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             ws = words(value)
-            found = self.memo[value] = self._mention(ws) or (self._title(ws) if self.titles else self._name(ws))
+            found = self.memo[value] = self._mention(ws) or self._set(ws) or (self._name(ws) if self.short else 0)
         return found
 
     def _mention(self, ws: list[str]) -> int:
@@ -217,11 +247,7 @@ class SlotMatcher:
             return
         if not most:
             return
-        # an edit changes at most one letter on either side, so the bags of letters of nearer texts differ by no more
-        off = self.bags - np.array(_bag(text), np.int16)
-        near = np.maximum(np.clip(off, 0, None).sum(axis=1), np.clip(-off, 0, None).sum(axis=1)) <= most
-        for k in np.flatnonzero(near):
-            other = self.texts[k]
+        for other in self.near.candidates(text, most):
             limit = min(most, _allowed(len(other)))
             far = distance(text, other, limit)
             if far <= limit:
@@ -239,16 +265,16 @@ class SlotMatcher:
     def _look_up(self, word: str) -> list[tuple[str, int]]:
         if word in self.holders:
             return [(word, 0)]
-        short = [(v, 1) for v in self.vocabulary if abbreviates(word, v)]
+        short = [(v, ABBREVIATED) for v in self.by_first[word[0]] if abbreviates(word, v)] if word[0] in self.by_first else []
         if short and len(word) <= 5:
             return short
         most = 1 if len(word) == 4 else 2 if len(word) <= 7 else 3
         wrong = []
-        for v in self.vocabulary if len(word) >= 4 else ():
+        for v in self.near_words.candidates(word, most) if len(word) >= 4 else ():
             limit = min(most, max(1, len(v) // 3))
             if (far := distance(word, v, limit)) <= limit:
                 wrong.append((v, 1 + far))
-        return short + wrong
+        return short + sorted(wrong)
 
     def _split(self, word: str) -> list[str]:
         """A word written together as vocabulary words, if it can be."""
@@ -260,7 +286,8 @@ class SlotMatcher:
                     return [*self._split(word[: -len(v)]), v]
         return [word]
 
-    def _title(self, ws: list[str]) -> int:
+    def _set(self, ws: list[str]) -> int:
+        """Entry whose set of words is closest to that of ``ws``, if there is one."""
         joined = "".join(ws)
         if len(ws) == 1 and joined in self.initials:
             return self.initials[joined]
@@ -278,7 +305,8 @@ class SlotMatcher:
             own = self.tokens[entry]
             left, cost, hits, strange = list(own), 0, 0, []
             for w, options in sorted(meanings, key=lambda m: min((c for _, c in m[1]), default=9)):
-                usable = [(c, v) for v, c in options if v in left]
+                # nothing vouches for the abbreviation of a name of one word
+                usable = [(c, v) for v, c in options if v in left and not (c == ABBREVIATED and len(own) == 1)]
                 if usable:
                     c, v = min(usable)
                     left.remove(v)
@@ -289,7 +317,8 @@ class SlotMatcher:
                     strange.append(w)
                 elif w not in DECORATIONS:
                     strange.append(w)
-            for w in list(strange):  # a badly misspelt word may be the one that is missing
+            # of a longer title a badly misspelt word may be the one that is missing; a name has no other word to vouch for it
+            for w in list(strange) if entry not in self.short else ():
                 near = [v for v in left if len(w) >= 4 and distance(w, v, 1 + len(v) // 3) <= 1 + len(v) // 3 and w not in self.holders]
                 if near:
                     left.remove(near[0])
@@ -297,8 +326,6 @@ class SlotMatcher:
                     cost, hits = cost + 3, hits + 1
             if strange and (left or any(w in self.holders for w in strange if w not in DECORATIONS)):
                 continue
-            if len(strange) > 3:
-                continue
             if hits >= 2 or (hits == len(own)):
                 costs[entry] = (len(left), len(strange), cost)
         if not costs:
@@ -315,7 +342,11 @@ class SlotMatcher:
 def mapped(observations: DataFrame, canon: DataFrame, columns: dict[int, str]) -> DataFrame:
     """``obs_id, slot, canon_id`` of each value of ``columns`` (slot -> column) that is no label as it stands."""
     spark = observations.sparkSession
-    rows = canon.select("slot", "canon_id", "label").filter("label is not null and canon_id is not null").distinct().collect()
+    listed = canon.select("slot", "canon_id", "label").filter("label is not null and canon_id is not null").distinct()
+    size = listed.agg(F.sum(F.length("label"))).first()[0] or 0
+    if size > LIST_CHARS:
+        raise ValueError(f"the reference list has {size} characters, more than {LIST_CHARS}: an automaton of it fits no task")
+    rows = listed.collect()
     entries = {slot: [(r[1], r[2]) for r in rows if r[0] == slot] for slot in columns}
     shared = spark.sparkContext.broadcast(entries)
     slots = list(columns)

@@ -5,6 +5,8 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cellweave.llm import canonical, frequency, groups, language, leakage, lookalike, tokenizer
@@ -173,13 +175,38 @@ def test_jobs(value, expected):
     assert canonical.SlotMatcher(JOBS).match(value) == expected
 
 
-def test_mapped_rows(spark):
+def test_unrelated_entries_change_nothing():
+    few, many = canonical.SlotMatcher(JOBS), canonical.SlotMatcher(JOBS + [(50 + i, x) for i, x in enumerate(["Wonk", "Zyx", "Quaver Hill", "Umbo", "Vexil", "Hwyl", "Jynx Moor"])])
+    for value in ("Clerk, Orchard Signal", "Qual. Fitter", "FSL", "word " * 30 + "senior glass qualtiy fitter"):
+        assert few.match(value) == many.match(value) != 0
+    towns = canonical.SlotMatcher(TOWNS + JOBS)
+    assert towns.match("Upr Polstvoik") == 2 and towns.match("Qual. Fitter") == 12 and towns.match("see remarks") == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9), st.integers(0, 4))
+def test_distance_equals_the_table_of_distances(a, b, most):
+    table = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            table[i, j] = max(i, j) if not i or not j else min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 < j and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                table[i, j] = min(table[i, j], table[i - 2, j - 2] + 1)
+    far = table[len(a), len(b)]
+    assert canonical.distance(a, b, most) == min(far, most + 1)
+    assert far > most or b in canonical.Near([b]).candidates(a, most)  # no near text is left out
+
+
+def test_mapped_rows(spark, monkeypatch):
     canon = spark.createDataFrame([(1, i, v) for i, v in TOWNS] + [(2, i, v) for i, v in JOBS] + [(2, None, "x"), (None, 7, "y")], "slot int, canon_id int, label string")
     obs = spark.createDataFrame([(1, "Lower Polstovik", "FSL", 5), (2, None, " ", 5), (3, "Orchard Signal Clerk", "", 5), (3, "Orchard Signal Clerk", "", 5)], "obs_id long, a string, b string, canon_id int")
     got = sorted(map(tuple, canonical.mapped(obs, canon, {1: "a", 2: "b"}).collect()))
     assert got == [(1, 2, 13), (3, 1, 0), (3, 1, 0)]
     assert canonical.mapped(obs.filter("false"), canon, {1: "a"}).collect() == []
     assert [r.canon_id for r in canonical.mapped(obs, canon.filter("false"), {1: "a"}).collect()] == [0, 0, 0]
+    monkeypatch.setattr(canonical, "LIST_CHARS", 10)
+    with pytest.raises(ValueError, match="fits no task"):
+        canonical.mapped(obs, canon, {1: "a"})
 
 
 TEXTS = ["", " ", "a  b", " lead", "trail ", "it's\n\n x", "　x \u0085 y", "<|endoftext|> ok", "日本語のテキスト、です。", "x" * 5000, "naïve — €5", "\x1c a \x1d", "tab\there ", "1 234,5 km²"]
