@@ -1,7 +1,8 @@
 """Which header cells describe which data block of a sheet, and how.
 
-Everything is keyed by sheet (``by``) and expressed as joins, windows and aggregates over representatives of
-blocks; a driver loop never visits blocks.  Block labels are integers (``data_gid``, ``attr_gid``).
+Everything is keyed by sheet (``by``); a driver loop never visits blocks.  Ordinary sheets are analysed in one shuffle
+by ``sheet``; for larger ones the same is expressed as joins, windows and aggregates over representatives of blocks
+(``by_joins``).  Block labels are integers (``data_gid``, ``attr_gid``).
 Sheets without data or without headers are reported by ``status`` and give no rows.
 """
 
@@ -17,6 +18,10 @@ from ..store import Workspace
 from . import blocks, lshape
 
 
+#: What counts as a number of its own accord.
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 @dataclass
 class Analysis:
     """Result of ``analyze``: header map, data blocks, the classified cells, and a status for each sheet."""
@@ -75,11 +80,13 @@ def axis_stats(data: DataFrame, attr: DataFrame, by: list[str], penalty: float =
     for axis, pos, less, more, group in (("col", "row", "N", "S", "NS"), ("row", "col", "W", "E", "WE")):
         pairs = d.select(*by, "data_gid", axis, F.col(pos).alias("p_d")).join(a.select(*by, "attr_gid", axis, F.col(pos).alias("p_a")), [*by, axis]).filter("p_d <> p_a")
         pairs = pairs.withColumns({"direction": F.when(F.col("p_a") < F.col("p_d"), less).otherwise(more), "dist": F.abs(F.col("p_a") - F.col("p_d"))})
-        near = pairs.groupBy(*by, "data_gid", "attr_gid", "direction", axis).agg(F.min(F.struct("dist", "p_d", "p_a")).alias("m")).select(*by, "data_gid", "attr_gid", "direction", axis, "m.*")
+        nearest = F.min("dist").over(Window.partitionBy(*by, "data_gid", "attr_gid", "direction", axis))
+        near = pairs.withColumn("_near", nearest).filter("dist = _near").drop("_near")  # all that are equally near
         extent = a.groupBy(*by, axis, F.col("attr_gid").alias("other")).agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"))
         gap = near.select(*by, axis, "data_gid", "attr_gid", "direction", F.least("p_d", "p_a").alias("g_lo"), F.greatest("p_d", "p_a").alias("g_hi")).filter("g_hi - g_lo > 1")
-        crossed = gap.join(extent, [*by, axis]).filter("other <> attr_gid and hi > g_lo and lo < g_hi").groupBy(*by, "data_gid", "attr_gid", "direction", axis).agg(F.count_distinct("other").alias("between"))
-        lines = near.join(crossed, [*by, "data_gid", "attr_gid", "direction", axis], "left").fillna(0, ["between"])
+        ends = [*by, axis, "data_gid", "attr_gid", "direction", "g_lo", "g_hi"]
+        crossed = gap.join(extent, [*by, axis]).filter("other <> attr_gid and hi > g_lo and lo < g_hi").groupBy(*ends).agg(F.count_distinct("other").alias("between"))
+        lines = near.withColumns({"g_lo": F.least("p_d", "p_a"), "g_hi": F.greatest("p_d", "p_a")}).join(crossed, ends, "left").fillna(0, ["between"])
         w = Window.partitionBy(*by, "data_gid", "attr_gid", "direction")
         lines = lines.withColumn("_far", F.col("dist") - F.min("dist").over(w))
         stats = lines.groupBy(*by, "data_gid", "attr_gid", "direction").agg(F.min("dist").cast("double").alias("dist"), F.sum(1 / (1 + penalty * F.col("_far"))).alias("side"), F.max("between").alias("between"))
@@ -97,17 +104,23 @@ def corner_stats(data: DataFrame, attr: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by, "data_gid", "attr_gid", "direction").agg(F.min("dist").alias("dist")).withColumns({"side": F.lit(0.0), "between": F.lit(0).cast("bigint"), "direction_group": F.lit("corner")})
 
 
-def major_directions(stats: DataFrame, by: list[str]) -> DataFrame:
-    """Per data block and direction group the unobstructed header blocks with the longest side, then the nearest."""
+def best_of_group(stats: DataFrame, by: list[str]) -> DataFrame:
+    """Per data block and direction group the header blocks with the longest side, then the nearest."""
     w = Window.partitionBy(*by, "data_gid", "direction_group")
-    best = stats.filter("between = 0").withColumn("_s", F.max("side").over(w)).filter("side >= _s - 1e-12")
+    best = stats.withColumn("_s", F.max("side").over(w)).filter("side >= _s - 1e-12")
     return best.withColumn("_d", F.min("dist").over(w)).filter("dist = _d").drop("_s", "_d")
 
 
+def major_directions(stats: DataFrame, by: list[str]) -> DataFrame:
+    """Of the unobstructed header blocks the best in each direction group of a data block."""
+    return best_of_group(stats.filter("between = 0"), by)
+
+
 def minor_directions(data: DataFrame, attr: DataFrame, major: DataFrame, by: list[str]) -> DataFrame:
-    """Header blocks without a data block go to the nearest one, corners included."""
+    """Header blocks without a data block go to the nearest one with its headers, corners included."""
+    info = info_blocks(data, attr, major, by)
     rest = attr.join(major.select(*by, "attr_gid").distinct(), [*by, "attr_gid"], "left_anti")
-    axis, corners = axis_stats(data, rest, by), corner_stats(data, rest, by)
+    axis, corners = axis_stats(info, rest, by), corner_stats(info, rest, by)
     facing = axis.select(*by, "data_gid", "attr_gid").distinct()
     every = axis.unionByName(corners.join(facing, [*by, "data_gid", "attr_gid"], "left_anti").select(*axis.columns))
     order = Window.partitionBy(*by, "attr_gid").orderBy("dist", F.desc("side"), "data_gid", "direction")
@@ -129,13 +142,19 @@ def merge_blocks(data: DataFrame, attr: DataFrame, links: DataFrame, by: list[st
     other = pairs.filter("not (r_min = r_min2 and r_max = r_max2 and c_min = c_min2 and c_max = c_max2)")
     both = other.select(*by, F.col("gid").alias("a"), F.col("gid2").alias("b")).unionByName(other.select(*by, F.col("gid2").alias("a"), F.col("gid").alias("b")))
     corners = ("r_min", "r_max", "c_min", "c_max")
-    seen = both.join(info.withColumnRenamed("gid", "a"), [*by, "a"]).join(own.select(*by, F.col("data_gid").alias("b"), *[F.col(c).alias(f"{c}2") for c in corners]), [*by, "b"])
-    rows = F.greatest(F.least("r_max", "r_max2") - F.greatest("r_min", "r_min2") + 1, F.lit(0))
-    cols = F.greatest(F.least("c_max", "c_max2") - F.greatest("c_min", "c_min2") + 1, F.lit(0))
-    share = rows * cols / ((F.col("r_max2") - F.col("r_min2") + 1) * (F.col("c_max2") - F.col("c_min2") + 1))
-    seen = seen.withColumn("share", share).filter("share > 0")
+
+    def share_of(target: DataFrame, gid: str) -> DataFrame:
+        """How much of the boxes ``target`` of b the information box of a covers."""
+        seen = both.join(info.withColumnRenamed("gid", "a"), [*by, "a"]).join(target.select(*by, F.col(gid).alias("b"), *[F.col(c).alias(f"{c}2") for c in corners]), [*by, "b"])
+        rows = F.greatest(F.least("r_max", "r_max2") - F.greatest("r_min", "r_min2") + 1, F.lit(0))
+        cols = F.greatest(F.least("c_max", "c_max2") - F.greatest("c_min", "c_min2") + 1, F.lit(0))
+        return seen.select(*by, "a", "b", (rows * cols / ((F.col("r_max2") - F.col("r_min2") + 1) * (F.col("c_max2") - F.col("c_min2") + 1))).alias("share"))
+
+    seen = share_of(own, "data_gid").join(share_of(info, "gid").withColumnRenamed("share", "other"), [*by, "a", "b"])
     w = Window.partitionBy(*by, "b")
-    chosen = seen.withColumn("_m", F.max("share").over(w)).filter("share = _m").select(*by, "a", "b")
+    # a block whose own box nobody covers goes by the box of its information
+    seen = seen.withColumn("_m", F.max("share").over(w)).filter("share = _m").withColumn("_o", F.max("other").over(w)).filter("share > 0 or other = _o")
+    chosen = seen.select(*by, "a", "b")
     candidates = (chosen.unionByName(same)).select(*by, F.col("b").alias("gid"), F.col("a").alias("target")).distinct()
     kept = free_of_headers(candidates, own, attr, by)
     if not options.check_entrapment_on_full_overlap:
@@ -146,7 +165,7 @@ def merge_blocks(data: DataFrame, attr: DataFrame, links: DataFrame, by: list[st
     data = remap(data, to, by)
     moved = remap(links, to, by)
     merged = moved.groupBy(*by, "data_gid", "attr_gid", "direction", "direction_group").agg(F.min("dist").alias("dist"), F.max("side").alias("side"), F.max("between").alias("between"))
-    return data, merged
+    return data, best_of_group(merged, by)
 
 
 def split_headers(data: DataFrame, attr: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
@@ -230,7 +249,7 @@ def name_headers(oriented: DataFrame, by: list[str]) -> DataFrame:
 
 def keep_main_block(data: DataFrame, classified: DataFrame, by: list[str], share: float) -> DataFrame:
     """Blocks with more than ``share`` of a sheet's numeric values, where there is one; else all."""
-    plain = F.trim("value").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    plain = F.trim("value").rlike(PLAIN_NUMBER)
     numeric = data.join(classified.filter(plain).select(*by, "row", "col"), [*by, "row", "col"]).groupBy(*by, "data_gid").agg(F.count("*").alias("nv"))
     w = Window.partitionBy(*by)
     main = numeric.withColumn("part", F.col("nv") / F.sum("nv").over(w)).filter(F.col("part") > share)
@@ -239,12 +258,12 @@ def keep_main_block(data: DataFrame, classified: DataFrame, by: list[str], share
     return kept.unionByName(rest)
 
 
-def analyze(classified: DataFrame, by: list[str], options: Options = Options()) -> Analysis:
-    """Find data blocks, their headers, and how to attach them, in all sheets at once."""
+def by_joins(classified: DataFrame, by: list[str], options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Data cells, header cells and links of sheets of any size, by joins and windows."""
     work = Workspace(classified.sparkSession, "analysis")
     data, attr = (work.write(x) for x in split_roles(classified, by))
-    has = data.select(*by).distinct().withColumn("_d", F.lit(True)).join(attr.select(*by).distinct().withColumn("_a", F.lit(True)), by, "full")
-    status = classified.select(*by).distinct().join(has, by, "left").select(*by, F.when(F.col("_d").isNull(), "no values").when(F.col("_a").isNull(), "no headers").otherwise("ok").alias("status"))
+    both = data.select(*by).distinct().join(attr.select(*by).distinct(), by, "left_semi")
+    data, attr = (x.join(both, by, "left_semi") for x in (data, attr))
     data, attr = lshape.impose(data, attr, by)
     data, attr = work.write(data), work.write(attr)
     data = work.write(merge_fragments(data, attr, by))
@@ -256,13 +275,84 @@ def analyze(classified: DataFrame, by: list[str], options: Options = Options())
     if options.single_block_filter:
         data = work.write(keep_main_block(data, classified, by, options.single_block_share))
     relabel = F.dense_rank().over(Window.partitionBy(*by).orderBy("data_gid"))
-    numbers = data.select(*by, "data_gid").distinct().withColumn("target", relabel).withColumnRenamed("data_gid", "gid")
+    numbers = work.write(data.select(*by, "data_gid").distinct().withColumn("target", relabel).withColumnRenamed("data_gid", "gid"))
     data = work.write(remap(data, numbers, by))
     links = work.write(remap(links.join(numbers.select(*by, F.col("gid").alias("data_gid")), [*by, "data_gid"], "left_semi"), numbers, by))
-    headers = work.write(split_headers(data, attr, links, by))
+    return data.select(*by, "row", "col", "data_gid"), attr.select(*by, "row", "col", "attr_gid"), links.select(*by, "data_gid", "attr_gid")
+
+
+def by_sheets(classified: DataFrame, by: list[str], options: Options, buckets: int) -> DataFrame:
+    """What ``by_joins`` and ``tagged`` find, for sheets that fit a task, as one frame: ``kind`` d (data), a (header
+    blocks), l (links) or h (headers) with the columns it has."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from . import sheet
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        owner: list[int] = []
+        keys = pdf.groupby(by, sort=False, dropna=False)
+        number = keys.ngroup().to_numpy()
+        order = np.argsort(number, kind="stable")
+        starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        columns = {c: pdf[c].to_numpy()[order] for c in ("row", "col", "PoA", "PoV", "_plain")}
+        for at, upto in zip(starts, [*starts[1:], len(order)]):
+            part = {c: v[at:upto] for c, v in columns.items()}
+            found, heads, links = sheet.analyze(part["row"], part["col"], part["PoA"].astype(float), part["PoV"].astype(float), part["_plain"].astype(bool), options)
+            rows = [("d", r, c, g, None, None, None, None) for (r, c), g in found.items()]
+            rows += [("a", r, c, None, g, None, None, None) for (r, c), g in heads.items()]
+            rows += [("l", None, None, *pair, None, None, None) for pair in links]
+            rows += [("h", r, c, g, None, name, tag, nice) for g, name, (r, c), tag, nice in sheet.headers(found, heads, links, options)]
+            out += rows
+            owner += [order[at]] * len(rows)
+        made = pdf[by].iloc[owner].reset_index(drop=True)
+        found = pd.DataFrame(out, columns=["kind", "row", "col", "data_gid", "attr_gid", *texts])
+        for c in ("row", "col", "data_gid", "attr_gid"):
+            made[c] = found[c].astype("Int32" if c in ("row", "col") else "Int64")
+        for c in ("kind", *texts):
+            made[c] = found[c].astype(object)
+        return made
+
+    texts = ["header", "header_orientation_tag", "nice_header_name"]
+    fields = {f.name: f for f in classified.schema.fields}
+    schema = T.StructType([*[fields[c] for c in by], *[T.StructField(c, T.IntegerType()) for c in ("row", "col")], *[T.StructField(c, T.LongType()) for c in ("data_gid", "attr_gid")], *[T.StructField(c, T.StringType()) for c in ("kind", *texts)]])
+    plain = F.coalesce(F.trim("value").rlike(PLAIN_NUMBER), F.lit(False))
+    told = F.col("PoA").isNotNull() & F.col("PoV").isNotNull() & (F.col("PoA") + F.col("PoV") > 0)
+    cells = classified.filter(told).select(*by, "row", "col", "PoA", "PoV", plain.alias("_plain"), F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("_bucket"))
+    return cells.groupBy("_bucket").applyInPandas(run, schema)
+
+
+def tagged(data: DataFrame, attr: DataFrame, links: DataFrame, by: list[str], options: Options) -> DataFrame:
+    """Header cells of each block with their header, orientation tag and name."""
+    headers = Workspace(data.sparkSession, "headers").write(split_headers(data, attr, links, by))
     oriented = name_headers(orientation(headers, data, by, options), by)
     if not options.derive_nice_names:
         oriented = oriented.withColumn("nice_header_name", F.col("attr_gid"))
     tags = oriented.select(*by, "data_gid", "attr_gid", "header_orientation_tag", "nice_header_name")
-    found = headers.select(*by, "data_gid", "attr_gid", "row", "col").join(tags, [*by, "data_gid", "attr_gid"])
-    return Analysis(work.write(found), data.select(*by, "row", "col", "data_gid"), classified, status, by)
+    return headers.select(*by, "data_gid", "attr_gid", "row", "col").join(tags, [*by, "data_gid", "attr_gid"])
+
+
+def analyze(classified: DataFrame, by: list[str], options: Options = Options()) -> Analysis:
+    """Find data blocks, their headers, and how to attach them, in all sheets at once.
+
+    Sheets up to ``blocks.SHEET_CELLS`` cells are analysed in one task each, many a call; larger ones by joins.
+    """
+    spark = classified.sparkSession
+    work = Workspace(spark, "analysis")
+    told = F.col("PoA").isNotNull() & F.col("PoV").isNotNull() & ~F.isnan("PoA") & ~F.isnan("PoV") & (F.col("PoA") + F.col("PoV") > 0)
+    sizes = work.write(classified.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(told & (F.col("PoV") >= 0.5)).alias("_d"), F.count_if(told & (F.col("PoA") >= 0.5)).alias("_a")))
+    status = sizes.select(*by, F.when(F.col("_d") == 0, "no values").when(F.col("_a") == 0, "no headers").otherwise("ok").alias("status"))
+    usable = sizes.filter("_d > 0 and _a > 0")
+    total, most = usable.agg(F.sum("_n"), F.max("_n")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // blocks.SHEET_CELLS))
+    kept = classified.join(usable.filter(F.col("_n") <= blocks.SHEET_CELLS).select(*by), by, "left_semi")
+    found = work.write(by_sheets(kept, by, options, buckets))
+    data = found.filter("kind = 'd'").select(*by, "row", "col", "data_gid")
+    cells = found.filter("kind = 'h'").select(*by, "data_gid", F.col("header").alias("attr_gid"), "row", "col", "header_orientation_tag", "nice_header_name")
+    if (most or 0) > blocks.SHEET_CELLS:
+        large = classified.join(usable.filter(F.col("_n") > blocks.SHEET_CELLS).select(*by), by, "left_semi")
+        more, attr, links = by_joins(large, by, options)
+        data, cells = data.unionByName(more), cells.unionByName(work.write(tagged(more, attr, links, by, options)))
+    return Analysis(cells, data, classified, status, by)

@@ -238,3 +238,30 @@ def test_stream_equals_batch(spark, tmp_path):
         store_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     key = lambda df: sorted(map(tuple, df.select("doc", "row", "col", "value", "error").collect()), key=str)
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(read_documents(spark, str(tmp_path / "in")))
+
+
+def test_sheets_in_tasks_and_by_joins_agree(spark):
+    import random
+
+    random.seed(21)
+    rows = []
+    for s in range(40):
+        h, w = random.randint(2, 9), random.randint(2, 9)
+        for r in range(1, h + 1):
+            for c in range(1, w + 1):
+                kind = random.random()
+                if kind < 0.12:
+                    continue
+                head = (r in (1, h // 2 + 1) or c == 1) if s % 2 else random.random() < 0.3
+                rows.append((s, r, c, "x" if head else "5", 1.0 if head else 0.0, 0.0 if head else 1.0))
+    rows += [(100, 1, 1, "x", 1.0, 0.0), (101, 1, 1, "5", 0.0, 1.0), (102, 1, 1, "5", None, None)]
+    df = spark.createDataFrame(rows, "s int, row int, col int, value string, PoA double, PoV double")
+    for options in (Options(single_block_filter=True, single_block_share=0.5),):
+        found = structure.by_sheets(df, ["s"], options, 4).collect()
+        got = [{(r.s, r.row, r.col, r.data_gid) for r in found if r.kind == "d"}, {(r.s, r.row, r.col, r.attr_gid) for r in found if r.kind == "a"}, {(r.s, r.data_gid, r.attr_gid) for r in found if r.kind == "l"}]
+        large = structure.by_joins(df, ["s"], options)
+        for own, other in zip(got, large):
+            assert own == {tuple(r) for r in other.collect()}
+        heads = {(r.s, r.data_gid, r.header, r.row, r.col, r.header_orientation_tag, r.nice_header_name) for r in found if r.kind == "h"}
+        assert len({x[5] for x in heads}) > 5 and heads == {tuple(r) for r in structure.tagged(*large, ["s"], options).collect()}
+    assert {r.s: r.status for r in structure.analyze(df, ["s"]).status.filter("s > 99").collect()} == {100: "no values", 101: "no headers", 102: "no values"}
