@@ -1,8 +1,8 @@
 """Attaching header cells to data cells by orientation tag.
 
-Frames carry ``by`` (sheet and block keys).  As-of and nearest headers become half-open ranges of positions
-by one window over the headers, so the join is an equi-join on the block (and a range condition), whose
-header side is as small as the headers of a sheet.
+Frames carry ``by`` (sheet and block keys).  For each line of data the header position that serves it is found over the
+distinct lines and positions of a block (as few as the rows and columns of a sheet); data and headers then meet in an
+equi-join on the block and the line, so no pair is made that does not belong together.
 """
 
 from __future__ import annotations
@@ -14,15 +14,24 @@ from pyspark.sql import functions as F
 TAGS = ("v", "vl", "vr", "vm", "h", "hu", "hd", "hm", "direct", "nothing")
 
 
-def ranges(headers: DataFrame, by: list[str], pos: str, tag: Column) -> DataFrame:
-    """Headers with the range [lo, hi) of positions that each serves under its tag; null bounds are open."""
-    w = Window.partitionBy(*by).orderBy(pos)
-    p = F.col(pos).cast("double")
-    before, after = F.lag(p).over(w), F.lead(p).over(w)
-    kind = F.substring(tag, 2, 1)
-    lo = F.when(kind.isin("l", "u"), p).when(kind.isin("r", "d"), before + 1).when(kind == "m", (before + p) / 2).otherwise(p)
-    hi = F.when(kind.isin("l", "u"), after).when(kind.isin("r", "d"), p + 1).when(kind == "m", (p + after) / 2).otherwise(p + 1)
-    return headers.withColumns({"_lo": lo, "_hi": hi})
+def served(lines: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
+    """``by…, _tag, _line, _pos``: the position (of ``places``: by, _tag, _pos) that serves each line (by, _tag, _line).
+
+    Exact for ``v``/``h``, the last before or at the line for ``l``/``u``, the first at or after it for ``r``/``d``, the
+    nearest for ``m``; a line midway between two goes to the larger.
+    """
+    both = lines.select(*by, "_tag", "_line", F.lit(None).cast("int").alias("_pos")).unionByName(places.select(*by, "_tag", F.col("_pos").alias("_line"), "_pos"))
+    w = Window.partitionBy(*by, "_tag").orderBy("_line")
+    before = F.max("_pos").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min("_pos").over(w.rangeBetween(0, Window.unboundedFollowing))
+    kind = F.substring("_tag", 2, 1)
+    nearer = F.when(F.col("_a").isNull() | (2 * F.col("_line") < F.col("_b") + F.col("_a")), F.col("_b")).otherwise(F.col("_a"))
+    pos = (
+        F.when(kind.isin("l", "u"), F.col("_b")).when(kind.isin("r", "d"), F.col("_a"))
+        .when(kind == "m", F.coalesce(nearer, "_a", "_b")).otherwise(F.when(F.col("_b") == F.col("_line"), F.col("_b")))
+    )
+    found = both.withColumns({"_b": before, "_a": after}).withColumn("_at", pos)
+    return found.filter("_pos is null and _at is not null").select(*by, "_tag", "_line", F.col("_at").alias("_pos")).distinct()
 
 
 def attach(data: DataFrame, headers: DataFrame, by: list[str], tag: str | Column) -> DataFrame:
@@ -30,19 +39,23 @@ def attach(data: DataFrame, headers: DataFrame, by: list[str], tag: str | Column
 
     One header cell of a block reaches all its data; equal positions of several headers all match.
     """
+    families = "vh" if not isinstance(tag, str) else tag[:1] if tag[:1] in "vh" else ""
     tag = F.lit(tag) if isinstance(tag, str) else tag
     one = F.count("*").over(Window.partitionBy(*by)) == 1
-    pos = F.when(tag.startswith("v"), F.col("col")).otherwise(F.col("row"))
-    kept = headers.withColumns({"_tag": tag}).filter("_tag <> 'nothing'").withColumns({"_all": one | (F.col("_tag") == "direct"), "_pos": pos})
-    # several headers may share a position: ranges are made of distinct positions
-    spots = ranges(kept.filter("not _all").select(*by, "_tag", "_pos").distinct(), [*by, "_tag"], "_pos", F.col("_tag"))
-    spots = kept.filter("not _all").join(spots, [*by, "_tag", "_pos"])
-    everywhere = kept.filter("_all").withColumns({"_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")})
-    cols = [*by, "_tag", "_lo", "_hi", *[c for c in headers.columns if c not in by and c not in ("row", "col")]]
-    sides = spots.select(*cols).unionByName(everywhere.select(*cols))
-    at = F.when(F.col("_tag").startswith("v"), F.col("col")).otherwise(F.col("row"))
-    inside = (F.col("_lo").isNull() | (at >= F.col("_lo"))) & (F.col("_hi").isNull() | (at < F.col("_hi")))
-    return data.join(sides, by).filter(inside).drop("_tag", "_lo", "_hi")
+    pos = F.when(F.col("_tag").startswith("v"), F.col("col")).otherwise(F.col("row"))
+    kept = headers.withColumns({"_tag": tag}).filter("_tag <> 'nothing'").withColumns({"_all": one | (F.col("_tag") == "direct"), "_pos": pos.cast("int")})
+    extra = [c for c in headers.columns if c not in by and c not in ("row", "col")]
+    out = data.join(kept.filter("_all").select(*by, *extra), by).select(*data.columns, *extra)
+    placed = kept.filter("not _all")
+    for family in families:
+        axis = "col" if family == "v" else "row"
+        own = placed.filter(F.col("_tag").startswith(family))
+        places = own.select(*by, "_tag", "_pos").distinct()
+        lines = data.select(*by, F.col(axis).cast("int").alias("_line")).distinct().join(places.select(*by, "_tag").distinct(), by)
+        sides = served(lines, places, by).join(own.select(*by, "_tag", "_pos", *extra), [*by, "_tag", "_pos"])
+        sides = sides.select(*by, F.col("_line").alias(axis), *extra)
+        out = out.unionByName(data.join(sides, [*by, axis]).select(*data.columns, *extra))
+    return out
 
 
 def corner(data: DataFrame, headers: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 #: Options of the survey that have no effect here: an error wherever they are set.
-UNSUPPORTED = ("finalize_through_stages", "collate_on_whole", "pairwise_join_limit")
+UNSUPPORTED = ("finalize_through_stages", "pairwise_join_limit")
 
 
 @dataclass(frozen=True)
@@ -17,6 +17,7 @@ class Options:
     reduced_orientations: bool = False
     check_entrapment_on_full_overlap: bool = True
     finalize_till: str = "collate"
+    collate_on_whole: bool = True
     delink_corner_headers: bool = False
     focus_range: tuple[float, float] = (float("-inf"), float("inf"))
     focus_absolute_range: tuple[float, float] = (0.0, float("inf"))

@@ -49,21 +49,8 @@ def read_cells(spark: SparkSession, paths: str | list[str], till: str | None = N
 
 
 def collate_composed(composed: DataFrame, options: Options = Options()) -> DataFrame:
-    """Composed blocks with the same header names as one frame each, united by what their columns hold.
-
-    Blocks are grouped by their set of header names first, so the driver folds one frame for each set, not
-    one for each block.
-    """
-    shapes = composed.withColumn("_shape", F.array_sort(F.map_keys(F.coalesce("attr", F.create_map().cast("map<string,string>")))))
-    by_block = shapes.groupBy(*BY, "data_gid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_shape")))).alias("_names"))
-    names = sorted(tuple(r[0]) for r in by_block.select("_names").distinct().collect())
-    tagged = composed.join(by_block, [*BY, "data_gid"])
-    frames = []
-    for shape in names:
-        part = tagged.filter(F.col("_names") == F.array(*map(F.lit, shape)).cast("array<string>"))
-        frames.append(part.select(*BY, "data_gid", "row", "col", *[F.col("attr")[n].alias(n) for n in shape], "value"))
-    fixed = [*BY, "data_gid", "row", "col", "value"]
-    if not frames:
-        return composed.drop("attr")
-    out = collate.constant_info(collate.collate(frames, fixed), [*BY, "data_gid"])
-    return collate.ordered(out, [f for f in fixed if f != "value"])
+    """Composed blocks united by what their columns hold, within each document or (not on the whole) each sheet."""
+    unit = ["doc"] if options.collate_on_whole else BY
+    collated = Workspace(composed.sparkSession, "collated").write(collate.collate_blocks(composed, unit, [*BY, "data_gid"]))
+    names = sorted((r[0] for r in collated.select(F.explode(F.map_keys("attr"))).distinct().collect()), key=lambda n: (n.rpartition("_")[0], int(n.rpartition("_")[2])))
+    return collated.select(*BY, "data_gid", *[F.col("attr")[n].alias(n) for n in names], "value")

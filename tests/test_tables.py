@@ -189,6 +189,49 @@ def test_collate(spark):
     assert {(r.collated_1, r.collated_2) for r in got.collect()} == {("x1", "red"), ("x2", "blue"), ("x3", "green")}
 
 
+def test_blocks_are_collated_by_content(spark, monkeypatch):
+    towns, days = ["Aachen", "Bonn", "Celle", "Dorsten"], ["2020-01-02", "2020-03-04", "2021-05-06"]
+    rows = []
+    for block in range(1, 9):  # the same header names mean different things in every second block
+        for i in range(12):
+            a, b = towns[i % 4], days[i % 3]
+            attr = {"high_long": a, "high_short": b} if block % 2 else {"high_long": b, "high_short": a}
+            rows.append(("d", f"s{block % 3}", block, i, 1, str(i), attr | ({"low_1": "only here"} if block == 3 else {}) | ({"low_2": f"x{i}"} if block == 4 else {})))
+    rows += [("e", "s", 1, i, 1, str(i), {"high_long": "p", "high_short": f"q{i}", "low_1": "r"}) for i in range(3)] * 2
+    rows += [("e", "t", 1, 1, 1, "9", None)]
+    df = spark.createDataFrame(rows, "doc string, sheet string, data_gid long, row int, col int, value string, attr map<string,string>")
+    got = []
+    for size in (64, 3):  # all blocks of a document at once, and in a tree
+        monkeypatch.setattr(collate, "FOLD", size)
+        found = collate.collate_blocks(df, ["doc"], ["doc", "sheet", "data_gid"], threshold=0.2).collect()
+        got.append({(r.doc, r.sheet, r.data_gid, r.value, tuple(sorted((r.attr or {}).items()))) for r in found})
+        assert len(found) == len(got[-1]) == 8 * 12 + 3 + 1
+    assert got[0] == got[1]
+    first = {k: v for r in got[0] if r[0] == "d" for k, v in r[4] if v in towns}
+    assert set(first) == {"collated_1"} or set(first) == {"collated_2"}
+    keys = {k for r in got[0] if r[0] == "d" for k, _ in r[4]}
+    assert keys == {"collated_1", "collated_2", "info_1", "uncollated_1"}
+    assert {k for r in got[0] if r[0] == "e" for k, _ in r[4]} == {"high_1", "high_2", "low_1"}
+    assert collate.collate_blocks(df, ["doc"], ["doc", "sheet", "data_gid"], keep_duplicates=True).count() == len(rows)
+    assert collate.collate_blocks(df.filter("false"), ["doc"], ["doc", "sheet", "data_gid"]).collect() == []
+
+
+def test_edit_similarity():
+    from functools import cache
+
+    def plain(a, b):
+        @cache
+        def far(i, j):
+            return max(i, j) if not i or not j else min(far(i - 1, j) + 1, far(i, j - 1) + 1, far(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+
+        return 1 - far(len(a), len(b)) / max(len(a), len(b), 1)
+
+    x, y = ["kitten", "", "abc", "łódź"], ["sitting", "abc", "x", "lodz", "kit"]
+    assert collate.edit_similarity(x, y) == pytest.approx(sum(plain(a, b) for a in x for b in y) / 20)
+    columns = {f"c{i}": ([(k, v) for k, v in enumerate(vs)], False) for i, vs in enumerate([["red", "blue"], ["red", "green"], ["10", "20"], []])}
+    assert collate.best_pairs({"a": columns["c0"], "b": columns["c2"]}, {"p": columns["c2"], "q": columns["c1"], "r": columns["c3"]}, 0.0)[0] == ("b", "p")
+
+
 def workbook():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -215,7 +258,7 @@ def test_options(spark):
     spark.conf.unset("cellweave.single_block_filter")
 
 
-@pytest.mark.parametrize("name", ["finalize_through_stages", "collate_on_whole", "pairwise_join_limit"])
+@pytest.mark.parametrize("name", ["finalize_through_stages", "pairwise_join_limit"])
 def test_options_without_effect_are_refused(spark, name):
     with pytest.raises(TypeError):
         Options(**{name: 0})
