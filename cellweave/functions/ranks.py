@@ -11,11 +11,11 @@ def hierarchical_rank(by: list[str], order: list[str | Column]) -> Column:
     return F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))
 
 
-def segments(c: Column, width: int = 12) -> Column:
+def segments(c: Column) -> Column:
     """Sort key of the figures of a name such as ``1_4_2``: numbers compare as numbers, missing ones last."""
-    figures = F.regexp_replace(c, "[^0-9_]", "")
-    parts = F.split(figures, "_")
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(parts, i).try_cast("bigint"), F.lit((1 << 62))))
+    figures = F.regexp_replace(F.regexp_replace(c, "[^0-9_]", ""), "_+$", "")
+    none = F.lit(1 << 62)
+    return F.concat(F.transform(F.split(figures, "_"), lambda x: F.coalesce(x.try_cast("bigint"), none)), F.array(none))
 
 
 def natural_rank(c: Column, by: list[str]) -> Column:

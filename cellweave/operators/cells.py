@@ -76,11 +76,17 @@ def as_sheets(frames: dict[str, DataFrame] | list[DataFrame]) -> DataFrame:
     """Cells of several sheets in one frame; unnamed, blank and repeated names are made up and unique."""
     items = list(frames.items()) if isinstance(frames, dict) else [("", f) for f in frames]
     seen: dict[str, int] = {}
+    used: set[str] = set()
     out = []
     for i, (name, frame) in enumerate(items):
         name = name.strip() or f"sheet_{i + 1}"
-        seen[name] = seen.get(name, 0) + 1
-        out.append(frame.withColumn("sheet", F.lit(name if seen[name] == 1 else f"{name}_{seen[name] - 1}")))
+        given = {n.strip() for n, _ in items}
+        final = name
+        while final in used or (final != name and final in given):  # a made-up name is nobody's own
+            seen[name] = seen.get(name, 0) + 1
+            final = f"{name}_{seen[name]}"
+        used.add(final)
+        out.append(frame.withColumn("sheet", F.lit(final)))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -144,6 +150,27 @@ def violations(cells: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return found.filter(reduce(Column.__or__, [F.col(n) > 0 for n in checks]))
 
 
+def sheet_violations(frame: DataFrame, sheet: str = "sheet") -> list[str]:
+    """Why ``frame`` is no table of the cells of several sheets: all reasons at once, none if it is one."""
+    missing = [c for c in (sheet, "row", "col", "data_type", "value") if c not in frame.columns]
+    if missing:
+        return [f"no column {c}" for c in missing]
+    unnamed = frame.filter(F.col(sheet).isNull() | (F.trim(sheet) == "")).isEmpty()
+    totals = violations(frame, [sheet])
+    broken = totals.agg(*[F.sum(c).alias(c) for c in totals.columns if c != sheet]).first().asDict()
+    return ([] if unnamed else ["sheets without a name"]) + [f"{k} {v}" for k, v in broken.items() if v]
+
+
+def summary(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells that share an address as one: the mean of numeric columns, the distinct values of others, parted by commas."""
+    held = []
+    for f in cells.schema:
+        if f.name not in (*by, "row", "col"):
+            one = F.avg(f.name) if isinstance(f.dataType, T.NumericType) else F.concat_ws(", ", F.array_sort(F.collect_set(F.col(f.name).cast("string"))))
+            held.append(one.alias(f.name))
+    return cells.groupBy(*by, "row", "col").agg(*held)
+
+
 def validate(cells: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """``cells``, or an error that names every broken rule at once."""
     bad = violations(cells, keys)

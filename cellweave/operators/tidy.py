@@ -94,34 +94,46 @@ def rename_by_content(df: DataFrame, names: dict[str, list[str]], patterns: dict
     return out
 
 
+def common_lengths(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Length of the longest common substring of each pair, many pairs at a time."""
+    def coded(texts: list[str], fill: int) -> np.ndarray:
+        out = np.full((len(texts), max(map(len, texts), default=0)), fill, np.int32)
+        for k, t in enumerate(texts):
+            out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+        return out
+
+    best = np.zeros(len(xs), np.int32)
+    order = np.argsort([len(x) + len(y) for x, y in zip(xs, ys)], kind="stable")
+    for at in range(0, len(order), 2048):  # pairs of like length
+        some = order[at : at + 2048]
+        a, b = coded([xs[k] for k in some], -1), coded([ys[k] for k in some], -2)
+        row, top = np.zeros((len(some), b.shape[1] + 1), np.int32), np.zeros(len(some), np.int32)
+        for j in range(a.shape[1]):
+            now = np.zeros_like(row)
+            now[:, 1:] = (row[:, :-1] + 1) * (b == a[:, j : j + 1])
+            row = now
+            np.maximum(top, row.max(axis=1), out=top)
+        best[some] = top
+    return best
+
+
 def _lcs_udf():
     @F.pandas_udf(T.IntegerType())
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
-        """Length of the longest common substring."""
-        out = []
-        for x, y in zip(a, b):
-            if not x or not y:
-                out.append(0)
-                continue
-            px, py = np.frombuffer(x.encode("utf-32-le"), np.uint32), np.frombuffer(y.encode("utf-32-le"), np.uint32)
-            row, best = np.zeros(len(py) + 1, int), 0
-            for ch in px:
-                row[1:] = (row[:-1] + 1) * (py == ch)
-                row[0] = 0
-                best = max(best, int(row.max()))
-            out.append(best)
-        return pd.Series(out)
+        return pd.Series(common_lengths(a.fillna("").tolist(), b.fillna("").tolist()))
 
     return common
 
 
 def clean_key(c: Column, acronyms: bool = True, keep_figures: bool = False, case_sensitive: bool = False) -> Column:
-    """A key as it is compared: letters only, squeezed, with its initials added if it has two words or more."""
+    """A key as it is compared: the initials of its words added if it has two or more, then letters only, squeezed."""
     kept = r"[^\p{L}\p{N}]+" if keep_figures else r"[^\p{L}]+"
-    text = F.trim(F.regexp_replace(c, kept, " "))
+    text = c
     if acronyms:
-        words = F.split(text, " ")
-        text = F.when(F.size(words) >= 2, F.concat_ws(" ", text, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))).otherwise(text)
+        words = F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+        initials = F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
+        text = F.when(F.size(words) >= 2, F.concat_ws(" ", c, initials)).otherwise(c)
+    text = F.trim(F.regexp_replace(text, kept, " "))
     return text if case_sensitive else F.lower(text)
 
 
@@ -173,8 +185,14 @@ def fuzzy_match(x: DataFrame, y: DataFrame, relationship: str = "many_to_many",
     return left.unionByName(rest)
 
 
-def fuzzy_join(x: DataFrame, y: DataFrame, by: str | dict[str, str] | None = None, how: str = "left", keep_score: bool = False, **match: object) -> DataFrame:
-    """``x`` joined to ``y`` on keys that match best; ``by`` is a common column or {x's: y's}."""
+def fuzzy_join(x: DataFrame, y: DataFrame, by: str | dict[str, str] | None = None, how: str = "left", keep_score: bool = False, name_from: str | None = None, keep_keys: bool = False, **match: object) -> DataFrame:
+    """``x`` joined to ``y`` on keys that match best; ``by`` is a common column or {x's: y's}.
+
+    Both key columns stay, or under ``name_from`` ("x" or "y") that one only; ``keep_keys`` adds them as ``x_key`` and
+    ``y_key``.  Columns of ``y`` named as one of ``x`` get the ending ``_y``.
+    """
+    if name_from not in (None, "x", "y"):
+        raise ValueError(f"name_from is x, y or None, not {name_from!r}")
     if by is None:
         common = [c for c in x.columns if c in y.columns]
         if len(common) != 1:
@@ -182,7 +200,16 @@ def fuzzy_join(x: DataFrame, y: DataFrame, by: str | dict[str, str] | None = Non
         by = common[0]
     kx, ky = next(iter(by.items())) if isinstance(by, dict) else (by, by)
     bridge = fuzzy_match(x.select(kx), y.select(ky), **match).filter("x is not null and y is not null")
-    left = x.join(bridge, x[kx] == bridge["x"], "left").drop("x").withColumnRenamed("y", "_key")
-    right = y.withColumnsRenamed({c: f"{c}_y" for c in y.columns if c in left.columns and c != ky} | {ky: "_key_y"})
-    out = left.join(right, left["_key"] == right["_key_y"], how).withColumnRenamed("_key_y", ky if ky != kx else f"{ky}_y").drop("_key")
-    return out if keep_score else out.drop("score")
+    bridge = bridge.select(F.col("x").alias("_from"), F.col("y").alias("_key"), F.col("score").alias("_score"))
+    left = x.join(bridge, F.col(f"`{kx}`") == F.col("_from"), "left").drop("_from")
+    right = y.withColumnsRenamed({c: f"{c}_y" for c in y.columns if c in x.columns and c != ky} | {ky: "_key_y"})
+    out = left.join(right, left["_key"] == right["_key_y"], how)
+    if keep_keys:
+        out = out.withColumns({"x_key": F.col(f"`{kx}`"), "y_key": F.col("_key_y")})
+    if name_from == "y":
+        out = out.drop(kx).withColumnRenamed("_key_y", ky)
+    elif name_from == "x":
+        out = out.drop("_key_y")
+    else:
+        out = out.withColumnRenamed("_key_y", f"{ky}_y" if ky in x.columns else ky)
+    return out.drop("_key").withColumnRenamed("_score", "score") if keep_score else out.drop("_key", "_score")

@@ -153,10 +153,13 @@ def as_cells_orders(spark: SparkSession, d: str) -> DataFrame:
     return cell_ops.as_cells(table(spark, d, "orders"), ["o_orderkey"], columns=["o_orderkey", "o_custkey", "o_orderstatus"]).select("row", "col", "data_type", "value")
 
 
-@query('select sheet_id, "row", ' + ", ".join(f"max(case when col = {i} then value end) as c{i}" for i in range(1, 13)) + ' from cells group by sheet_id, "row"')
+@query('select sheet_id, "row", col, max(value) as value from cells where value is not null group by sheet_id, "row", col')
 def cells_to_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """All columns, the 12 of the SQL at least; the SQL leaves out what lies beyond them."""
-    return cell_ops.to_matrix(table(spark, d, "cells"), BY, 12)
+    """Dense rows, as wide as the widest sheet, and their columns told one by one."""
+    wide = cell_ops.to_matrix(table(spark, d, "cells"), BY)
+    names = [c for c in wide.columns if c not in (*BY, "row")]
+    long = wide.unpivot([*BY, "row"], names, "name", "value").filter("value is not null")
+    return long.select(*BY, "row", F.substring("name", 2, 9).cast("int").alias("col"), "value")
 
 
 @query("""
@@ -321,7 +324,7 @@ def hierarchical_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with g as (select distinct sheet_id, attr_gid from attr_data_map), s as (select *, regexp_replace(attr_gid, '[^0-9_]', '', 'g') as f from g),
-k as (select *, list_transform(range(1, 13), lambda i: coalesce(try_cast(string_split(f, '_')[i] as bigint), 4611686018427387904)) as key from s)
+k as (select *, list_append(list_transform(string_split(rtrim(f, '_'), '_'), lambda x: coalesce(try_cast(x as bigint), 4611686018427387904)), 4611686018427387904) as key from s)
 select sheet_id, attr_gid, case when f = '' then '' else dense_rank() over (partition by sheet_id, f = '' order by key)::varchar end as r from k
 """)
 def natural_rank(spark: SparkSession, d: str) -> DataFrame:

@@ -22,8 +22,21 @@ def _table(rows: list[list[str | None]]) -> list[tuple[int, int, str, str]]:
     return [(i, j, "character", v) for i, row in enumerate(rows, 1) for j, v in enumerate(row, 1) if v is not None and v != ""]
 
 
+#: Spellings by which single cells of delimited text are typed.
+_TYPES = (
+    ("numeric", re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")), ("logical", re.compile("true|false|TRUE|FALSE|T|F")),
+    ("date", re.compile(r"\d{4}-\d{2}-\d{2}")), ("time", re.compile(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?Z?")),
+)
+
+
+def typed(sheets: Sheets) -> Sheets:
+    """Cells of text with the type that each one's spelling shows."""
+    kind = lambda v: next((name for name, pattern in _TYPES if pattern.fullmatch(v)), "character")
+    return {name: [(r, c, kind(v), v) for r, c, _, v in cells] for name, cells in sheets.items()}
+
+
 def delimited(content: bytes) -> Sheets:
-    """Commas or tabs, whichever makes more cells of the first five lines (commas if equal)."""
+    """Commas or tabs, whichever makes more cells of the first five lines (commas if equal); all cells are character."""
     text = content.decode("utf-8-sig", "replace")
     head = text.splitlines()[:5]
     count = lambda sep: sum(len(r) for r in csv.reader(head, delimiter=sep))
@@ -80,7 +93,7 @@ def html(content: bytes) -> Sheets:
                     j += 1
                 text = " ".join("".join(cell["text"]).split())
                 for a in range(min(cell["rows"], len(table) - i + 1)):
-                    for b in range(min(cell["cols"], 1000)):
+                    for b in range(min(cell["cols"], 1000)):  # the standard of the format has no wider cells
                         grid[i + a, j + b] = text
                 j += cell["cols"]
         cells = [(i, j, "character", v) for (i, j), v in sorted(grid.items()) if v]
@@ -189,15 +202,29 @@ def document(content: bytes) -> Sheets:
     return out
 
 
-def parse(content: bytes) -> Sheets:
-    """Cells of a document by its bytes, whatever its name says: readers of its kind in turn, then plug-ins."""
+def attempt(content: bytes) -> tuple[Sheets, str | None]:
+    """Cells of a document by its bytes, whatever its name says, and why there are none.
+
+    Readers of its kind are tried in turn, then plug-ins; what each of them stumbled over is told.
+    """
     chains = {"text": [html, delimited], "xlsx_docx": [workbook, document], "xls_doc": [], "pdf": [], "unknown": []}
     kind = sniff.kind_of(content)
-    for reader in [*chains[kind], *([sniff.PLUGINS[kind]] if kind in sniff.PLUGINS else [])]:
+    readers = [*chains[kind], *([sniff.PLUGINS[kind]] if kind in sniff.PLUGINS else [])]
+    if not readers:
+        return {}, f"no reader for {kind}"
+    reasons = []
+    for reader in readers:
         try:
             found = reader(content)
-        except Exception:  # the next reader may do
+        except Exception as e:  # the next reader may do
+            reasons.append(f"{reader.__name__}: {type(e).__name__}: {e}")
             continue
         if found:
-            return found
-    return {}
+            return found, None
+        reasons.append(f"{reader.__name__}: no table found")
+    return {}, "; ".join(reasons)
+
+
+def parse(content: bytes) -> Sheets:
+    """Cells of a document, none where nothing can read it."""
+    return attempt(content)[0]

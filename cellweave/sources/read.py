@@ -18,9 +18,9 @@ def _parsed(batches: Iterator) -> Iterator:
 
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            found = parsers.parse(bytes(content))
+            found, reason = parsers.attempt(bytes(content))
             rows = [(path, sheet, r, c, kind, v, None) for sheet, cells in found.items() for r, c, kind, v in cells]
-            yield pd.DataFrame(rows or [(path, None, None, None, None, None, "no table found")], columns=["doc", "sheet", "row", "col", "data_type", "value", "error"]).astype({"row": "Int32", "col": "Int32"})
+            yield pd.DataFrame(rows or [(path, None, None, None, None, None, reason)], columns=["doc", "sheet", "row", "col", "data_type", "value", "error"]).astype({"row": "Int32", "col": "Int32"})
 
 
 def cells_of(files: DataFrame) -> DataFrame:
@@ -29,5 +29,7 @@ def cells_of(files: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Cells of all documents under ``paths``."""
+    """Cells of all documents under ``paths``; an error where none is named or one does not exist."""
+    if not paths or not all(isinstance(p, str) and p.strip() for p in ([paths] if isinstance(paths, str) else paths)):
+        raise ValueError("paths of documents are needed")
     return cells_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths))

@@ -34,6 +34,9 @@ def test_null_values_and_priors(spark):
 
 
 def test_ranks(spark):
+    deep = "1_" * 14
+    rank = spark.createDataFrame([(deep + "10",), (deep + "9",), ("1_2_",), ("1_2",)], "x string").select("x", ranks.natural_rank(F.col("x"), []).alias("r"))
+    assert {r.x: r.r for r in rank.collect()} == {deep + "9": "1", deep + "10": "2", "1_2_": "3", "1_2": "3"}
     names = ["1_4_1", "1_5", "1_4_2", "1_40_1", "1_3", "1_20", "abc"]
     df = spark.createDataFrame([(n,) for n in names], "x string").select("x", ranks.natural_rank(F.col("x"), []).alias("r"))
     assert {r.x: r.r for r in df.collect()} == dict(zip(names, ["2", "4", "3", "6", "1", "5", ""]))
@@ -139,12 +142,10 @@ def test_matrix_keeps_every_column(spark, tmp_path):
     from cellweave.plans.cell_queries import QUERIES
 
     rows = [(1, 1, 1, "a"), (1, 1, 13, "b"), (2, 1, 15, "c"), (2, 2, 2, "d")]
-    spark.createDataFrame(rows, "sheet_id long, row int, col int, value string").write.parquet(str(tmp_path / "cells.parquet"))
-    wide = QUERIES["cells_to_matrix"](spark, str(tmp_path))
-    assert wide.columns == ["sheet_id", "row", *[f"c{i}" for i in range(1, 16)]]
-    got = {(r.sheet_id, r.row, int(k[1:]), v) for r in wide.collect() for k, v in r.asDict().items() if k.startswith("c") and v is not None}
-    assert got == set(rows)
     c = spark.createDataFrame(rows, "sheet_id long, row int, col int, value string")
+    c.write.parquet(str(tmp_path / "cells.parquet"))
+    assert {tuple(r) for r in QUERIES["cells_to_matrix"](spark, str(tmp_path)).collect()} == set(rows)
+    assert cells.to_matrix(c, ["sheet_id"]).columns == ["sheet_id", "row", *[f"c{i}" for i in range(1, 16)]]
     assert cells.to_matrix(c.filter("col < 3"), ["sheet_id"]).columns == ["sheet_id", "row", "c1", "c2"]
     assert cells.to_matrix(c.filter("false"), ["sheet_id"], 2).columns == ["sheet_id", "row", "c1", "c2"]
 
@@ -175,6 +176,11 @@ def test_tidy(spark):
     got = {r.k: r.w for r in tidy.fuzzy_join(x, y, by={"k": "name"}).collect()}
     assert got == {"Agriculture sector": 1, "Mining": 2, None: None, "zzz": None}
     assert {(r.x, r.y) for r in tidy.fuzzy_match(x, y.select("name"), relationship="one_to_one").collect()} == {("Agriculture sector", "Agriculture"), ("Mining", "Mining and quarrying"), ("zzz", None), (None, "Transport")}
+    clash = spark.createDataFrame([("Mining", 1, 2)], "x string, y int, score int")
+    other = spark.createDataFrame([("Mining & co", 7)], "y string, score int")
+    assert tidy.fuzzy_join(clash, other, by={"x": "y"}).collect()[0][:] == ("Mining", 1, 2, "Mining & co", 7)
+    assert tidy.fuzzy_join(clash, other, by={"x": "y"}, name_from="x", keep_keys=True).columns == ["x", "y", "score", "score_y", "x_key", "y_key"]
+    assert tidy.common_lengths(["abcdef", "", "xyz"], ["zzcdez", "a", "abc"]).tolist() == [3, 0, 0]
     with pytest.raises(ValueError):
         tidy.rename_by_content(df, {"a": ["x"]}, {"a": "x"})
 
