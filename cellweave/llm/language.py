@@ -110,6 +110,7 @@ class WordScores:
     def __init__(self, counts: dict[str, Counter], scripts: dict[str, list[str]] = SCRIPTS):
         self.languages = [*dict.fromkeys(lang for langs in scripts.values() for lang in langs), UNKNOWN]
         n = len(self.languages)
+        self.kept = 9  # the languages of the first four scripts
         at = {lang: i for i, lang in enumerate(self.languages)}
         rows, weights = [], []
 
@@ -196,12 +197,17 @@ class Labeller:
 
     def paragraphs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number (-1: none), confidence and informative words of each paragraph."""
-        table, weights, n = self.scores.table, self.scores.weights, len(self.scores.languages)
+        weights = self.scores.weights
         rows = [self.scores.rows(tokens(t)) for t in texts]
         lengths = np.array([len(r) for r in rows], np.int64)
         flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
         ends = np.cumsum(lengths)
         starts = ends - lengths
+        # a language that no word here speaks for is never better than those that are always kept, nor nearer to the best
+        spoken = self.scores.table[np.unique(flat)].max(axis=0, initial=FLOOR) > FLOOR
+        spoken[: self.scores.kept] = True
+        columns = np.flatnonzero(spoken)
+        table, n = np.ascontiguousarray(self.scores.table[:, columns]), len(columns)
         sums = np.zeros((len(texts), n), np.float32)
         weight = np.zeros(len(texts), np.float32)
         vague = np.zeros(len(texts), np.float32)
@@ -236,7 +242,7 @@ class Labeller:
         rest[np.arange(len(texts)), best] = -np.inf
         margin = np.maximum(sums[np.arange(len(texts)), best] - rest.max(axis=1), 0)
         confidence = share * (1 - np.exp(-(1 + margin) / 4)) * np.minimum(1, (1 - vague) / SURE)
-        return np.where(weight > 0, best, -1), np.where(weight > 0, confidence, 0), weight
+        return np.where(weight > 0, columns[best], -1), np.where(weight > 0, confidence, 0), weight
 
     def documents(self, texts: list[str]) -> list[list[tuple[int, str, float]]]:
         """Per text its rows (seg_no, lang, confidence): 0 for the document, 1… if its paragraphs differ."""
