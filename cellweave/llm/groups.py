@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from ..store import Workspace
 
-#: Rate of the exponential shifts. An edge stays between clusters with probability of about 1 - exp(-rate).
+#: Rate of the exponential shifts. Were clusters to grow to the end, an edge would stay between two of them with
+#: probability of about 1 - exp(-rate).
 RATE = 0.05
-#: Hops that clusters grow in a level; a vertex not reached by then keeps what reached it so far.
+#: Hops that clusters grow in a level; a vertex not reached by then keeps what reached it so far. Three hops leave about a
+#: quarter of the edges of a long path between clusters; more hops would leave fewer, at one join over the edges each.
 HOPS = 3
 
 
