@@ -12,6 +12,7 @@ from ..operators import attach, blocks, cells as cell_ops, collate, compose, edi
 from ..sources.read import cells_of
 from ..store import Workspace, table
 from .cell_queries import BY
+from .pipeline import read_cells
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,6 +79,18 @@ def headers_of_cross_tables(spark: SparkSession, d: str) -> DataFrame:
     return _cross_analysis(spark, d).attr_data_map.select("sheet", F.col("data_gid").cast("int").alias("data_gid"), "attr_gid", "header_orientation_tag", "nice_header_name").distinct()
 
 
+@query(SQL["compose_cross_tables"])
+def read_cells_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """The cross tables written as a file each and read, typed, analysed, composed and collated in one call."""
+    lines = _cross(spark, d).groupBy("sheet", "row").agg(F.array_join(F.array_sort(F.collect_list(F.struct("col", "value")))["value"], "\t").alias("line"))
+    files = lines.groupBy("sheet").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", "line")))["line"], "\n").alias("text"))
+    folder = f"{Workspace(spark, 'files').root}/in"
+    files.write.partitionBy("sheet").text(folder)
+    tidy_rows = read_cells(spark, folder)
+    nation = F.regexp_extract("doc", "sheet=([0-9]+)/", 1).alias("sheet")
+    return tidy_rows.select(nation, F.col("high_2").alias("priority"), F.col("high_1").alias("state"), F.col("value").cast("bigint").alias("n"))
+
+
 # Documents: rows of tables rendered as files of several kinds and read again.
 
 _ROWS = """
