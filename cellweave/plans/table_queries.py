@@ -184,13 +184,10 @@ def unreadable_documents(spark: SparkSession, d: str) -> DataFrame:
 
 # Foreign tables of cells.
 
-_SEGMENTS = "select distinct sheet_id, \"row\", col, value, data_type from cells where value <> ''"
-_TYPED = F.when(F.col("data_type") == "numeric", "a").when(F.col("data_type") == "logical", "b").when(F.col("data_type") == "date", "c").otherwise("d")
-
-
 def _foreign(spark: SparkSession, d: str, names: dict[str, str]) -> DataFrame:
     """Cells with a column of values for each of the types a (number), b (truth), c (date) and d (the rest)."""
-    own = table(spark, d, "cells").filter("value <> ''").select(F.col("sheet_id").cast("string").alias("sheet"), "row", "col", "value", _TYPED.alias("k")).distinct()
+    kind = F.when(F.col("data_type") == "numeric", "a").when(F.col("data_type") == "logical", "b").when(F.col("data_type") == "date", "c").otherwise("d")
+    own = table(spark, d, "cells").filter("value <> ''").select(F.col("sheet_id").cast("string").alias("sheet"), "row", "col", "value", kind.alias("k")).distinct()
     kinds = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return own.select("sheet", "row", "col", kinds[F.col("k")].alias("data_type"), *[F.when(F.col("k") == k, F.col("value")).alias(n) for k, n in names.items()])
 

@@ -121,3 +121,12 @@ def test_shared_folder(spark):
     assert work.bytes(kept) > 0
     store.clean(spark)
     assert store.names_in(spark, work.root) == []
+
+
+def test_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
