@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or known cases, with the odd inputs its docstring names."""
 
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellweave.llm import canonical, frequency, groups, language, leakage, lookalike, tokenizer
+from cellweave.llm import canonical, frequency, groups, language, leakage, lookalike, queries, tokenizer
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 2, 1)
 
@@ -146,6 +147,32 @@ def test_letters_of_the_public_table(spark):
     assert [tuple(r) for r in lookalike.same_look(values, terms).collect()] == [(1, 1)]
 
 
+def test_every_label_counts(spark, tmp_path):
+    cyrillic = ["«ХОРА»", "«РОСА»", "«ТЕСТ»"]  # each is the only label that tells how its word is written
+    latin = ["«XOPA»", "«POCA»", "«TECT»"]
+    lots = spark.range(120_000).selectExpr("cast(id as int) term_id", "concat('Lot ', id) label")
+    lots.union(spark.createDataFrame(list(enumerate(cyrillic)), "term_id int, label string")).write.parquet(f"{tmp_path}/terms.parquet")
+    spark.createDataFrame([(v,) for v in latin + cyrillic], "value string").write.parquet(f"{tmp_path}/cells.parquet")
+    made = {r.value: r.form for r in queries.p2_forms(spark, str(tmp_path)).collect()}
+    assert made == dict(zip(latin + cyrillic, cyrillic * 2))
+
+
+def test_counted_pairs_equal_those_of_one_list(spark, monkeypatch):
+    labels = ["Rural tax", "Расход воды", "ガス ポンプ", "", "​", "Côte", "x" * 3000, "№-№"] + [f"AB {i}" for i in range(300)]
+    terms = spark.createDataFrame([(v,) for v in [*labels, *labels, None]], "label string").repartition(7)
+    expected = lookalike.count_pairs(labels)
+    assert lookalike.label_counts(terms) == expected and expected["A", "B"] == 300 and expected["B", ""] == 300
+    monkeypatch.setattr(lookalike, "MEMO", 1)  # a sum for each Arrow batch
+    assert lookalike.label_counts(terms) == expected
+    assert lookalike.label_counts(terms.filter("false")) == {}
+    whole = expected + Counter((a, b) for v in labels for a, b in zip(f" {v} ", f" {v} "[1:]) if (a, b) not in expected)
+    made, all_pairs = lookalike.Forms(labels), lookalike.Forms(counts=whole)
+    random.seed(6)
+    for _ in range(2000):  # pairs left out change no form
+        text = "".join(random.choice("Rural tAxРасходводыガス ポ-XOPAХОРАΧΟΡΑ") for _ in range(random.randrange(30)))
+        assert made.form(text) == all_pairs.form(text)
+
+
 TOWNS = [(1, "Lower Polstovik"), (2, "Upper Polstovik"), (3, "Saint Dunrenholtz"), (4, "Fenmalihavn-on-Wend"), (5, "Halthelhavn")]
 JOBS = [(11, "Orchard Signal Clerk"), (12, "Glass Quality Fitter"), (13, "Ferry & Survey Labourer"), (14, "Parcel Packing Coordinator"), (15, "Glass Loading Foreman")]
 
