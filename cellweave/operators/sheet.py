@@ -6,7 +6,10 @@ sheet.  ``structure.analyze`` measures sheets first and takes its own way, by jo
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -137,50 +140,71 @@ def axis_stats(data: dict[int, list[Cell]], attr: dict[int, list[Cell]], penalty
     d, a = representatives(data), representatives(attr)
     out: Stats = {}
     for axis, less, more, group in ((1, "N", "S", "NS"), (0, "W", "E", "WE")):
-        lines_d, lines_a = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
-        for lines, blocks in ((lines_d, d), (lines_a, a)):
-            for gid, cells in blocks.items():
-                for at in cells:
-                    lines[at[axis]][gid].add(at[1 - axis])
-        found = defaultdict(list)
+        lines_d, lines_a = lines_of(d, axis), lines_of(a, axis)
+        found: dict[tuple[int, int, str], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
         for line, own in lines_d.items():
             others = lines_a.get(line)
             if not others:
                 continue
-            gids = list(others)
-            low, high = np.array([min(others[g]) for g in gids]), np.array([max(others[g]) for g in gids])
-            for dg, places in own.items():
-                x = np.array(sorted(places))
-                for k, ag in enumerate(gids):
-                    y = np.array(sorted(others[ag]))
-                    gap = y[None, :] - x[:, None]
-                    for direction, far in ((less, -gap), (more, gap)):
-                        far = np.where(far > 0, far, np.iinfo(np.int64).max)
-                        nearest = int(far.min())
-                        if nearest == np.iinfo(np.int64).max:
+            spans = [(y[0], y[-1]) for _, y in others]
+            for dg, x in own:
+                for (ag, y), (low, high) in zip(others, spans):
+                    for direction, near in ((less, nearest(x, y, -1) if low < x[-1] else ()), (more, nearest(x, y, 1) if high > x[0] else ())):
+                        if not near:
                             continue
-                        for i, j in np.argwhere(far == nearest):
-                            g0, g1 = min(x[i], y[j]), max(x[i], y[j])
-                            crossed = int(((high > g0) & (low < g1)).sum() - ((high[k] > g0) & (low[k] < g1))) if g1 - g0 > 1 else 0
-                            found[dg, ag, direction].append((nearest, crossed))
+                        fars, between = found[dg, ag, direction]
+                        for g0, g1 in near:
+                            fars.append(g1 - g0)
+                            if g1 - g0 > 1 and len(spans) > 1:
+                                between.append(sum([h > g0 and lo < g1 for lo, h in spans]) - (high > g0 and low < g1))
         longest: dict[int, float] = defaultdict(float)
         part = {}
-        for key, lines in found.items():
-            dist = min(far for far, _ in lines)
-            side = sum(1 / (1 + penalty * (far - dist)) for far, _ in sorted(lines))
-            part[key] = float(dist), side, max(n for _, n in lines), group
+        for key, (fars, between) in found.items():
+            dist = min(fars)
+            side = sum([1 / (1 + penalty * (far - dist)) for far in sorted(fars)])
+            part[key] = float(dist), side, max(between, default=0), group
             longest[key[0]] = max(longest[key[0]], side)
         out |= {key: (dist, side / longest[key[0]], between, g) for key, (dist, side, between, g) in part.items()}
     return out
 
 
-def corner_stats(data: dict[int, list[Cell]], attr: dict[int, list[Cell]]) -> dict[tuple[int, int, str], float]:
-    """Nearest distance of blocks that face each other over a corner."""
+def lines_of(blocks: dict[int, set[Cell]], axis: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """By line the blocks that have cells there, with their sorted places."""
+    out: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+    for gid, cells in blocks.items():
+        own: dict[int, list[int]] = defaultdict(list)
+        for at in cells:
+            own[at[axis]].append(at[1 - axis])
+        for line, places in own.items():
+            places.sort()
+            out[line].append((gid, places))
+    return out
+
+
+def nearest(x: list[int], y: list[int], way: int) -> list[tuple[int, int]]:
+    """Gaps from places x to the places y before (-1) or after (1) them: all that are equally short."""
+    best, out = None, []
+    for p in x:
+        k = bisect_left(y, p) - 1 if way < 0 else bisect_right(y, p)
+        if 0 <= k < len(y):
+            q = y[k]
+            far = abs(p - q)
+            if best is None or far < best:
+                best, out = far, []
+            if far == best:
+                out.append((p, q) if p < q else (q, p))
+    return out
+
+
+def corner_stats(data: dict[int, list[Cell]], attr: dict[int, list[Cell]], but: set[tuple[int, int]] = frozenset()) -> dict[tuple[int, int, str], float]:
+    """Nearest distance of blocks that face each other over a corner, without the pairs ``but``."""
     d = {g: np.array(sorted(x)) for g, x in representatives(data).items()}
     a = {g: np.array(sorted(x)) for g, x in representatives(attr).items()}
     out = {}
     for dg, x in d.items():
         for ag, y in a.items():
+            if (dg, ag) in but:
+                continue
             for at in range(0, len(y), 512):
                 rows = y[None, at : at + 512, 0] - x[:, 0, None]
                 cols = y[None, at : at + 512, 1] - x[:, 1, None]
@@ -276,7 +300,7 @@ def minor_links(data: Labels, attr: Labels, major: Stats) -> set[tuple[int, int]
     axis = axis_stats(info, rest)
     facing = {k[:2] for k in axis}
     found = [(ag, dist, -side, dg, direction) for (dg, ag, direction), (dist, side, _, _) in axis.items()]
-    found += [(ag, dist, 0.0, dg, direction) for (dg, ag, direction), dist in corner_stats(info, rest).items() if (dg, ag) not in facing]
+    found += [(ag, dist, 0.0, dg, direction) for (dg, ag, direction), dist in corner_stats(info, rest, facing).items()]
     out, done = set(), set()
     for ag, _, _, dg, _ in sorted(found):
         if ag not in done:
@@ -291,85 +315,164 @@ def dense(keys: dict) -> dict:
     return {item: place[key] for item, key in keys.items()}
 
 
-def side_of(at: Cell, b: Box) -> tuple[str, float, int, str]:
-    """Direction of a header cell from a block's box, its distance, its line and what names the line."""
-    r, c = at
-    r0, r1, c0, c1 = b
-    across, down = c0 <= c <= c1, r0 <= r <= r1
-    if across and down:  # inside the box it heads the cells below, or in the last row those to the right
-        direction = "N" if r < r1 else "W"
-    elif across:
-        direction = "N" if r < r0 else "S"
-    elif down:
-        direction = "W" if c < c0 else "E"
-    else:
-        direction = ("N" if r < r0 else "S") + ("W" if c < c0 else "E")
-    if len(direction) == 2:
-        far = float(np.sqrt(min(abs(r - r0), abs(r - r1)) ** 2 + min(abs(c - c0), abs(c - c1)) ** 2))
-        return direction, far, r, f"{r}:{c}"
-    far = {"N": r0 - r, "S": r - r1, "W": c0 - c, "E": c - c1}[direction]
-    line = r if direction in "NS" else c
-    return direction, float(far), line, str(line)
+#: Header of a block: its name, cells, orientation tag and the name people read.
+Head = tuple[str, list[Cell], str, str]
 
 
-def headers(data: Labels, attr: Labels, links: set[tuple[int, int]], options: Options) -> list[tuple[int, str, Cell, str, str]]:
-    """Block, header, address, orientation tag and name of each header cell.
+def block_headers(gid: int, own: list[Cell], linked_cells: set[Cell], lines: dict[int, list[int]], options: Options) -> list[Head]:
+    """Headers of one block.  ``lines`` has the columns of all header cells of the sheet by row.
 
     Each header row above or below a block, each header column beside it, and each corner cell is a header of its own;
     headers enclosed by the box of the block and its headers are taken in.
     """
-    every, own = members(attr), {g: set(cells) for g, cells in members(data).items()}
-    out = []
-    for gid, cells in sorted(own.items()):
-        linked_cells = {x for dg, ag in links if dg == gid for x in every[ag]}
-        outline, b = box_of(list(cells | linked_cells)), box_of(list(cells))
-        found = linked_cells | {x for x in attr if outline[0] <= x[0] <= outline[1] and outline[2] <= x[1] <= outline[3]}
-        groups: dict[tuple[str, str], list] = defaultdict(list)
-        for x in found - cells:
-            direction, far, line, mark = side_of(x, b)
-            groups[direction, mark].append((far, line, x))
-        rank = {}
-        for direction in {d for d, _ in groups}:
-            rank |= dense({k: (min(f for f, _, _ in v), v[0][1], k[1]) for k, v in groups.items() if k[0] == direction})
-        rows, cols = {r for r, _ in cells}, {c for _, c in cells}
-        made = {}
-        for (direction, mark), spots in groups.items():
-            ns, we = direction in ("N", "S"), direction in ("W", "E")
-            at = [x for _, _, x in spots]
+    cells = set(own)
+    r0, r1, c0, c1 = b = box_of(own)
+    outline = union(b, box_of(list(linked_cells))) if linked_cells else b
+    found = set(linked_cells)
+    for r in range(outline[0], outline[1] + 1) if outline[1] - outline[0] < len(lines) else sorted(lines):
+        if r in lines and outline[0] <= r <= outline[1]:
+            found.update([(r, c) for c in lines[r] if outline[2] <= c <= outline[3]])
+    groups: dict[tuple[str, int], list[Cell]] = defaultdict(list)
+    corners: dict[str, list[tuple[float, int, str, Cell]]] = defaultdict(list)
+    for at in found - cells:
+        r, c = at
+        if c0 <= c <= c1:  # inside the box it heads the cells below, or in the last row those to the right
+            if r < r1:
+                groups["N", r].append(at)
+            elif r > r1:
+                groups["S", r].append(at)
+            else:
+                groups["W", c].append(at)
+        elif r0 <= r <= r1:
+            groups["W" if c < c0 else "E", c].append(at)
+        else:
+            dr, dc = r0 - r if r < r0 else r - r1, c0 - c if c < c0 else c - c1
+            corners[("N" if r < r0 else "S") + ("W" if c < c0 else "E")].append((math.sqrt(dr * dr + dc * dc), r, f"{r}:{c}", at))
+    rows, cols = {r for r, _ in own}, {c for _, c in own}
+    made = {}
+    by_direction: dict[str, list] = defaultdict(list)
+    for (direction, line), at in groups.items():
+        far = {"N": r0 - line, "S": line - r1, "W": c0 - line, "E": line - c1}[direction]
+        by_direction[direction].append((float(far), line, str(line), at))
+    for direction, spots in by_direction.items():
+        ns = direction in "NS"
+        side = "long" if (len(rows) <= len(cols)) == ns else "short"
+        for rank, (far, _, mark, at) in enumerate(sorted(spots), 1):
             h = box_of(at)
-            cover = len({c for _, c in at} & cols) / len(cols) if ns else len({r for r, _ in at} & rows) / len(rows) if we else 0.0
-            if not ns and not we and options.delink_corner_headers:
-                tag = "nothing"
-            elif len(at) == 1:
+            cover = len({c for _, c in at} & cols) / len(cols) if ns else len({r for r, _ in at} & rows) / len(rows)
+            if len(at) == 1:
                 tag = "direct"
             elif ns:
                 tag = "v" if cover >= 1 else "vl" if options.reduced_orientations or h[2] <= b[2] else "vr" if h[3] >= b[3] else "vm"
-            elif we:
+            else:
                 tag = "h" if cover >= 1 else "hu" if options.reduced_orientations or h[0] <= b[0] else "hd" if h[1] >= b[1] else "hm"
+            made[f"ad{gid}_{direction}_{rank}"] = direction, at, tag, (-cover, far, mark), "high" if cover >= 1 else "mid", side
+    kinds: dict[tuple[str, str], list[str]] = defaultdict(list)
+    for name, v in made.items():
+        kinds[v[4], v[5]].append(name)
+    both = any(v[4] == "high" and v[0] in "NS" for v in made.values()) and any(v[4] == "high" and v[0] in "WE" for v in made.values())
+    same: dict[str, list[str]] = defaultdict(list)
+    for (level, side), names in kinds.items():
+        places = dense({name: made[name][3] for name in names})
+        plain = both and level == "high" and len(names) == 1
+        for name in names:
+            same[f"{level}_{side}" if plain else f"{level}_{side}_{places[name]}"].append(name)
+    out = []
+    for nice, names in same.items():
+        for k, name in enumerate(sorted(names, key=lambda x: (made[x][0] not in ("N", "W"), x)), 1):
+            out.append((name, made[name][1], made[name][2], nice if len(names) == 1 else f"{nice}_{k}"))
+    # corner cells differ in their marks, so that none share a place
+    named = {at: f"ad{gid}_{direction}_{k}" for direction, spots in corners.items() for k, (_, _, _, at) in enumerate(sorted(spots), 1)}
+    tag = "nothing" if options.delink_corner_headers else "direct"
+    nearest = sorted((far, mark, at) for spots in corners.values() for far, _, mark, at in spots)
+    out += [(named[at], [at], tag, f"low_short_{k}") for k, (_, _, at) in enumerate(nearest, 1)]
+    return out if options.derive_nice_names else [(name, at, tag, name) for name, at, tag, _ in out]
+
+
+def all_headers(data: Labels, attr: Labels, links: set[tuple[int, int]], options: Options) -> Iterator[tuple[int, list[Cell], list[Head]]]:
+    """Each block with its cells and its headers."""
+    every, lines = members(attr), defaultdict(list)
+    for r, c in attr:
+        lines[r].append(c)
+    linked_cells: dict[int, set[Cell]] = defaultdict(set)
+    for dg, ag in links:
+        linked_cells[dg].update(every[ag])
+    for gid, own in sorted(members(data).items()):
+        yield gid, own, block_headers(gid, own, linked_cells[gid], lines, options)
+
+
+def headers(data: Labels, attr: Labels, links: set[tuple[int, int]], options: Options) -> list[tuple[int, str, Cell, str, str]]:
+    """Block, header, address, orientation tag and name of each header cell."""
+    return [(gid, name, x, tag, nice) for gid, _, made in all_headers(data, attr, links, options) for name, at, tag, nice in made for x in at]
+
+
+def served(tag: str, places: list[int], line: int) -> int | None:
+    """The position (of sorted ``places``) that serves a line, as in ``attach.served``."""
+    k = bisect_right(places, line)
+    before = places[k - 1] if k else None
+    if before == line:
+        return before
+    after = places[k] if k < len(places) else None
+    kind = tag[1:2]
+    if kind in ("l", "u"):
+        return before
+    if kind in ("r", "d"):
+        return after
+    if kind != "m":
+        return None
+    return before if after is None else after if before is None or 2 * line >= before + after else before
+
+
+def compose(own: list[Cell], made: list[Head], values: dict[Cell, list[str | None]]) -> Iterator[tuple[Cell, list[str], list[str]]]:
+    """Each cell of a block with the names of the headers that reach it, in order, and their texts."""
+    by_name: dict[str, list[tuple[str, list[Cell]]]] = defaultdict(list)
+    for _, at, tag, nice in made:
+        if tag != "nothing":
+            by_name[nice].append((tag, at))
+    names = sorted(by_name)
+    lines = [sorted({x[axis] for x in own}) for axis in (0, 1)]
+    fixed: list[str | None] = []  # a text for all cells, or None
+    varied: list[tuple[int, int, dict]] = []  # place of a name, axis, text by line
+    several = []  # names of more than one header
+    for place, name in enumerate(names):
+        found: dict[int | None, dict[int | None, set]] = defaultdict(lambda: defaultdict(set))
+        for tag, at in by_name[name]:
+            if tag == "direct":
+                found[None][None].update(x for cell in at for x in values[cell])
+                continue
+            axis = 1 if tag[0] == "v" else 0
+            texts = defaultdict(list)
+            for cell in at:
+                texts[cell[axis]] += values[cell]
+            places = sorted(texts)
+            for line in lines[axis]:
+                position = served(tag, places, line)
+                if position is not None:
+                    found[axis][line].update(texts[position])
+        fixed.append(None)
+        if len(found) > 1:
+            several.append((place, found))
+        for axis, parts in found.items() if len(found) == 1 else ():
+            told = {line: " ".join(sorted(x for x in texts if x is not None)) for line, texts in parts.items()}
+            if axis is None:
+                fixed[place] = told[None]
             else:
-                tag = "vr" if direction in ("NE", "SE") else "vl"
-            level = "high" if (ns or we) and cover >= 1 else "mid" if ns or we else "low"
-            long = len(rows) <= len(cols) if ns else len(rows) > len(cols) if we else False
-            made[f"ad{gid}_{direction}_{rank[direction, mark]}"] = direction, mark, at, tag, cover, min(f for f, _, _ in spots), level, "long" if long else "short"
-        both = any(v[6] == "high" and v[0] in ("N", "S") for v in made.values()) and any(v[6] == "high" and v[0] in ("W", "E") for v in made.values())
-        kinds: dict[tuple[str, str], dict] = defaultdict(dict)
-        for name, v in made.items():
-            kinds[v[6], v[7]][name] = -v[4], v[5], v[1]
-        first = {}
-        for (level, side), keys in kinds.items():
-            places = dense(keys)
-            plain = both and level == "high" and len(keys) == 1
-            first |= {name: f"{level}_{side}" if plain else f"{level}_{side}_{places[name]}" for name in keys}
-        same: dict[str, list[str]] = defaultdict(list)
-        for name in made:
-            same[first[name]].append(name)
-        final = {}
-        for nice, names in same.items():
-            for k, name in enumerate(sorted(names, key=lambda x: (made[x][0] not in ("N", "W"), x)), 1):
-                final[name] = nice if len(names) == 1 else f"{nice}_{k}"
-        for name, v in made.items():
-            out += [(gid, name, x, v[3], final[name] if options.derive_nice_names else name) for x in v[2]]
-    return out
+                varied.append((place, axis, told))
+    for cell in own:
+        texts = fixed.copy()
+        whole = True
+        for place, axis, told in varied:
+            texts[place] = text = told.get(cell[axis])
+            whole = whole and text is not None
+        for place, found in several:
+            reached = [parts[line] for axis, parts in found.items() for line in [None if axis is None else cell[axis]] if line in parts]
+            texts[place] = " ".join(sorted(x for x in set().union(*reached) if x is not None)) if reached else None
+            whole = whole and bool(reached)
+        if whole:
+            yield cell, names, texts
+        else:
+            kept = [k for k, text in enumerate(texts) if text is not None]
+            yield cell, [names[k] for k in kept], [texts[k] for k in kept]
 
 
 def analyze(row: np.ndarray, col: np.ndarray, poa: np.ndarray, pov: np.ndarray, numeric: np.ndarray, options: Options) -> tuple[Labels, Labels, set[tuple[int, int]]]:

@@ -302,9 +302,12 @@ def corner_stats(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("sheet_id", "direction").agg(F.count("*").alias("pairs"), F.round(F.min("dist"), 9).alias("dist"))
 
 
+def _untyped(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "cells").select("sheet_id", "row", "col", "value", F.lit("character").alias("data_type"))
+
+
 def _analysis(spark: SparkSession, d: str) -> structure.Analysis:
-    cells = table(spark, d, "cells").select("sheet_id", "row", "col", "value", F.lit("character").alias("data_type")).distinct()
-    return structure.analyze(Workspace(spark, "typed").write(typing.classify(cells, BY)), BY)
+    return structure.analyze(Workspace(spark, "typed").write(typing.classify(_untyped(spark, d).distinct(), BY)), BY)
 
 
 @query()
@@ -314,7 +317,8 @@ def analyze_sheets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def compose_sheets(spark: SparkSession, d: str) -> DataFrame:
-    return compose.compose(_analysis(spark, d)).withColumn("attr", F.to_json("attr"))
+    rows = compose.composed(_untyped(spark, d), BY, classify=lambda cells: typing.classify(cells.distinct(), BY))
+    return rows.withColumn("attr", F.to_json("attr"))
 
 
 @query("select n_regionkey, n_name, dense_rank() over (partition by n_regionkey order by length(n_name), n_name) as r from nation")

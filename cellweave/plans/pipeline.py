@@ -39,10 +39,9 @@ def read_cells(spark: SparkSession, paths: str | list[str], till: str | None = N
     classified = work.write(classified)
     if till == "classify":
         return classified
-    analysis = structure.analyze(classified, BY, options)
     if till == "analyze":
-        return analysis
-    composed = work.write(compose.compose(analysis))
+        return structure.analyze(classified, BY, options)
+    composed = work.write(compose.composed(classified, BY, options))
     if till == "compose":
         return composed
     return collate_composed(composed, options)

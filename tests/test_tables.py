@@ -314,3 +314,50 @@ def test_sheets_in_tasks_and_by_joins_agree(spark):
         heads = {(r.s, r.data_gid, r.header, r.row, r.col, r.header_orientation_tag, r.nice_header_name) for r in found if r.kind == "h"}
         assert len({x[5] for x in heads}) > 5 and heads == {tuple(r) for r in structure.tagged(*large, ["s"], options).collect()}
     assert {r.s: r.status for r in structure.analyze(df, ["s"]).status.filter("s > 99").collect()} == {100: "no values", 101: "no headers", 102: "no values"}
+
+
+def test_composed_in_tasks_and_by_joins_agree(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    random.seed(4)
+    rows = []
+    for s in range(24):
+        h, w = random.randint(3, 9), random.randint(3, 9)
+        for r in range(1, h + 1):
+            for c in range(1, w + 1):
+                head = (r in (1, h // 2 + 1) or c == 1) if s % 2 else random.random() < 0.3
+                if random.random() > 0.12:
+                    rows.append((s, r, c, f"t{random.randint(0, 99)}" if head else str(random.randint(0, 99)), float(head), float(not head)))
+                if random.random() < 0.04:  # an address more than once, without text, without a role
+                    rows.append((s, r, c, random.choice(["é", "Z", None]), *random.choice([(1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (None, None)])))
+    rows += [(None, 1, 1, "x", 1.0, 0.0), (None, 2, 1, "5", 0.0, 1.0), (50, None, 1, "5", 0.0, 1.0), (101, 1, 1, "5", 0.0, 1.0), (102, 1, 1, "x", 1.0, 0.0), (103, 1, 1, "x", 1.0, 0.0), (103, 2, 2, "5", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "s int, row int, col int, value string, PoA double, PoV double")
+    key = lambda found: Counter((r.s, r.data_gid, r.row, r.col, r.value, r.attr and tuple(r.attr.items())) for r in found.collect())
+    expected = {}
+    for options in (Options(), Options(delink_corner_headers=True, derive_nice_names=False)):
+        expected[options] = key(compose.compose(structure.analyze(df.filter("row is not null"), ["s"], options)))
+        assert len(expected[options]) > 300
+    assert any(x[5] is None for rows_of in expected.values() for x in rows_of)  # a cell that no header reaches
+    monkeypatch.setattr(compose, "BATCH_ENTRIES", 40)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("7", "200", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for options, rows_of in expected.items():
+                assert key(compose.composed(df, ["s"], options)) == rows_of
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    monkeypatch.setattr(blocks, "SHEET_CELLS", 45)  # some sheets by joins
+    assert key(compose.composed(df.filter("row is not null"), ["s"])) == expected[Options()]
+
+
+def test_sheets_are_composed_in_one_shuffle(spark, tmp_path):
+    from cellweave.plans import catalogue
+
+    rows = [(1, r, c, "7" if r > 1 < c else f"h{r}{c}") for r in range(1, 5) for c in range(1, 4)]
+    spark.createDataFrame(rows, "sheet_id long, row int, col int, value string").write.parquet(str(tmp_path / "cells.parquet"))
+    found = catalogue.QUERIES["compose_sheets"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # a plan of 60 shuffles took the driver's memory
+    assert {(r.row, r.col): r.attr for r in found.collect()}[3, 2] == '{"high_long":"h31","high_short":"h12","low_short_1":"h11"}'
