@@ -21,7 +21,7 @@ from ..store import Workspace
 from . import attach, blocks, sheet, structure
 from .structure import Analysis
 
-#: Entries of maps after which a task hands on a batch of rows.
+#: Entries of maps (32 characters of JSON) after which a task hands on a batch of rows.
 BATCH_ENTRIES = 200_000
 
 
@@ -40,8 +40,8 @@ def compose(analysis: Analysis) -> DataFrame:
     return data.join(values, [*by, "row", "col"]).join(maps, [*by, "data_gid", "row", "col"], "left").select(*by, "data_gid", "row", "col", "value", "attr")
 
 
-def composed(cells: DataFrame, by: list[str], options: Options = Options(), classify: Callable[[DataFrame], DataFrame] = lambda cells: cells) -> DataFrame:
-    """``compose(analyze(classify(cells)))``.  ``classify`` works sheet by sheet, adds no cells and is called on cells that
+def composed(cells: DataFrame, by: list[str], options: Options = Options(), classify: Callable[[DataFrame], DataFrame] = lambda cells: cells, as_json: bool = False) -> DataFrame:
+    """``compose(analyze(classify(cells)))``, the map as JSON if so wanted.  ``classify`` works sheet by sheet, adds no cells and is called on cells that
     lie together by sheet, so that its own windows and the analysis need no further shuffle.
 
     Sheets above ``blocks.SHEET_CELLS`` cells go by joins.
@@ -52,15 +52,16 @@ def composed(cells: DataFrame, by: list[str], options: Options = Options(), clas
     total, most = sizes.agg(F.sum("count"), F.max("count")).first()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // blocks.SHEET_CELLS))
     if (most or 0) <= blocks.SHEET_CELLS:
-        return _by_sheets(classify(known.repartition(tasks, *by)), by, options)
+        return _by_sheets(classify(known.repartition(tasks, *by)), by, options, as_json)
     work = Workspace(spark, "composed")
     large = work.write(sizes.filter(F.col("count") > blocks.SHEET_CELLS).select(*by))
-    ordinary = _by_sheets(classify(known.join(large, by, "left_anti").repartition(tasks, *by)), by, options)
+    ordinary = _by_sheets(classify(known.join(large, by, "left_anti").repartition(tasks, *by)), by, options, as_json)
     analysis = structure.analyze(work.write(classify(known.join(large, by, "left_semi"))), by, options)
-    return ordinary.unionByName(compose(analysis))
+    rows = compose(analysis)
+    return ordinary.unionByName(rows.withColumn("attr", F.to_json("attr")) if as_json else rows)
 
 
-def _by_sheets(classified: DataFrame, by: list[str], options: Options) -> DataFrame:
+def _by_sheets(classified: DataFrame, by: list[str], options: Options, as_json: bool) -> DataFrame:
     """Composed rows of sheets that fit a task; cells lie together by sheet, or are brought together."""
     import pyarrow as pa
 
@@ -69,7 +70,7 @@ def _by_sheets(classified: DataFrame, by: list[str], options: Options) -> DataFr
     # the window has the cells of a sheet in one task, one after the other; where they are already, it moves nothing
     kept = kept.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     n, most = len(by), BATCH_ENTRIES
-    schema = T.StructType([*kept.schema.fields[:n], T.StructField("data_gid", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("row", "col")], T.StructField("value", T.StringType()), T.StructField("attr", T.MapType(T.StringType(), T.StringType()))])
+    schema = T.StructType([*kept.schema.fields[:n], T.StructField("data_gid", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("row", "col")], T.StructField("value", T.StringType()), T.StructField("attr", T.StringType() if as_json else T.MapType(T.StringType(), T.StringType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
         """Cells of whole sheets, with where each sheet starts and the end."""
@@ -106,10 +107,10 @@ def _by_sheets(classified: DataFrame, by: list[str], options: Options) -> DataFr
                 for r, c, text in zip(row[at:upto], col[at:upto], texts[at:upto]):
                     values.setdefault((r, c), []).append(text)
                 for gid, own, made in sheet.all_headers(data, attr, links, options):
-                    for cell, names, heads in sheet.compose(own, made, values):
+                    for cell, names, heads in sheet.compose(own, made, values, as_json):
                         for text in values[cell]:
                             out.add(at, gid, cell, text, names, heads)
-                        if len(out.keys) > most:
+                        if out.size > most:
                             yield out.batch(batch, n)
                             out = Rows()
             if out.owner:
@@ -118,6 +119,7 @@ def _by_sheets(classified: DataFrame, by: list[str], options: Options) -> DataFr
     class Rows:
         def __init__(self):
             self.owner, self.gid, self.row, self.col, self.value, self.keys, self.items, self.ends = [], [], [], [], [], [], [], [0]
+            self.size = 0
 
         def add(self, owner: int, gid: int, cell: sheet.Cell, value: str | None, names: list[str], heads: list[str]) -> None:
             self.owner.append(owner)
@@ -125,14 +127,22 @@ def _by_sheets(classified: DataFrame, by: list[str], options: Options) -> DataFr
             self.row.append(cell[0])
             self.col.append(cell[1])
             self.value.append(value)
-            self.keys += names
-            self.items += heads
-            self.ends.append(len(self.keys))
+            if as_json:
+                text = f"{{{','.join(heads)}}}" if heads else None  # None where no header reaches the cell
+                self.items.append(text)
+                self.size += 1 + len(text or "") // 32
+            else:
+                self.keys += names
+                self.items += heads
+                self.size = len(self.keys)
+                self.ends.append(self.size)
 
         def batch(self, cells: pa.RecordBatch, n: int) -> pa.RecordBatch:
-            ends = np.array(self.ends, np.int32)
-            none = np.append(ends[1:] == ends[:-1], False)  # no header reaches the cell
-            attr = pa.MapArray.from_arrays(pa.array(ends, pa.int32(), mask=none), pa.array(self.keys, pa.string()), pa.array(self.items, pa.string()))
+            attr = pa.array(self.items, pa.string())
+            if not as_json:
+                ends = np.array(self.ends, np.int32)
+                none = np.append(ends[1:] == ends[:-1], False)
+                attr = pa.MapArray.from_arrays(pa.array(ends, pa.int32(), mask=none), pa.array(self.keys, pa.string()), attr)
             owners = pa.array(self.owner, pa.int64())
             columns = [cells.column(i).take(owners) for i in range(n)]
             columns += [pa.array(self.gid, pa.int64()), pa.array(self.row, pa.int32()), pa.array(self.col, pa.int32()), pa.array(self.value, pa.string()), attr]

@@ -7,9 +7,11 @@ sheet.  ``structure.analyze`` measures sheets first and takes its own way, by jo
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 
@@ -79,10 +81,11 @@ class Headers:
         return bool(((self.rows >= b[0]) & (self.rows <= b[1]) & (self.cols >= b[2]) & (self.cols <= b[3])).any())
 
 
-def impose(data: set[Cell], attr: set[Cell]) -> tuple[Labels, Labels]:
-    """Data under an L of headers made headers."""
+def impose(data: set[Cell], attr: set[Cell]) -> tuple[Labels, Labels, Labels]:
+    """Data under an L of headers made headers; also the parts that data and headers form together."""
     data, attr = set(data), set(attr)
-    for part in members(components(data | attr)).values():
+    parts = components(data | attr)
+    for part in members(parts).values():
         d, a = [x for x in part if x in data], [x for x in part if x in attr]
         found = opening(box_of(part), np.array(a)) if d and a else None
         if found:
@@ -93,15 +96,14 @@ def impose(data: set[Cell], attr: set[Cell]) -> tuple[Labels, Labels]:
                 under = set(d) - held
                 data -= under
                 attr |= under
-    return components(data), components(attr)
+    return components(data), components(attr), parts
 
 
 def renamed(labels: Labels, to: dict[int, int]) -> Labels:
     return {at: to.get(gid, gid) for at, gid in labels.items()}
 
 
-def merge_fragments(data: Labels, attr: Labels) -> Labels:
-    parts = components(set(data) | set(attr))
+def merge_fragments(data: Labels, attr: Labels, parts: Labels) -> Labels:
     heads = Headers(attr)
     held: dict[int, set[int]] = defaultdict(set)
     for at, gid in data.items():
@@ -124,20 +126,30 @@ def representatives(cells: dict[int, list[Cell]]) -> dict[int, set[Cell]]:
     """First and last cell of each block on each row and each column."""
     out = {}
     for gid, own in cells.items():
-        by_row, by_col = defaultdict(list), defaultdict(list)
-        for r, c in own:
-            by_row[r].append(c)
-            by_col[c].append(r)
-        out[gid] = {(r, f(cs)) for r, cs in by_row.items() for f in (min, max)} | {(f(rs), c) for c, rs in by_col.items() for f in (min, max)}
+        found, last = set(), None
+        for axis in (0, 1):
+            line = None
+            for at in sorted(own) if axis == 0 else sorted(own, key=_turned):
+                if at[axis] != line:
+                    if last:
+                        found.add(last)
+                    found.add(at)
+                    line = at[axis]
+                last = at
+            found.add(last)
+        out[gid] = found
     return out
 
 
+_turned = itemgetter(1, 0)
+
+
 #: (data block, header block, direction) -> (distance, length of the facing side, blocks between, direction group)
 Stats = dict[tuple[int, int, str], tuple[float, float, int, str]]
 
 
-def axis_stats(data: dict[int, list[Cell]], attr: dict[int, list[Cell]], penalty: float = 0.5) -> Stats:
-    d, a = representatives(data), representatives(attr)
+def axis_stats(d: dict[int, set[Cell]], a: dict[int, set[Cell]], penalty: float = 0.5) -> Stats:
+    """Of representatives of data blocks and header blocks."""
     out: Stats = {}
     for axis, less, more, group in ((1, "N", "S", "NS"), (0, "W", "E", "WE")):
         lines_d, lines_a = lines_of(d, axis), lines_of(a, axis)
@@ -196,10 +208,9 @@ def nearest(x: list[int], y: list[int], way: int) -> list[tuple[int, int]]:
     return out
 
 
-def corner_stats(data: dict[int, list[Cell]], attr: dict[int, list[Cell]], but: set[tuple[int, int]] = frozenset()) -> dict[tuple[int, int, str], float]:
-    """Nearest distance of blocks that face each other over a corner, without the pairs ``but``."""
-    d = {g: np.array(sorted(x)) for g, x in representatives(data).items()}
-    a = {g: np.array(sorted(x)) for g, x in representatives(attr).items()}
+def corner_stats(data: dict[int, set[Cell]], attr: dict[int, set[Cell]], but: set[tuple[int, int]] = frozenset()) -> dict[tuple[int, int, str], float]:
+    """Nearest distance of representatives that face each other over a corner, without the pairs of blocks ``but``."""
+    d, a = ({g: np.array(sorted(x)) for g, x in blocks.items()} for blocks in (data, attr))
     out = {}
     for dg, x in d.items():
         for ag, y in a.items():
@@ -296,7 +307,7 @@ def minor_links(data: Labels, attr: Labels, major: Stats) -> set[tuple[int, int]
     rest = {g: cells for g, cells in every.items() if g not in taken}
     if not rest:
         return set()
-    info = info_cells(data, every, {k[:2] for k in major})
+    info, rest = representatives(info_cells(data, every, {k[:2] for k in major})), representatives(rest)
     axis = axis_stats(info, rest)
     facing = {k[:2] for k in axis}
     found = [(ag, dist, -side, dg, direction) for (dg, ag, direction), (dist, side, _, _) in axis.items()]
@@ -423,20 +434,45 @@ def served(tag: str, places: list[int], line: int) -> int | None:
     return before if after is None else after if before is None or 2 * line >= before + after else before
 
 
-def compose(own: list[Cell], made: list[Head], values: dict[Cell, list[str | None]]) -> Iterator[tuple[Cell, list[str], list[str]]]:
-    """Each cell of a block with the names of the headers that reach it, in order, and their texts."""
+#: Characters that a JSON text escapes, as Spark writes them.
+_ESCAPED = {k: f"\\u{k:04X}" for k in range(32)} | {ord(k): f"\\{v}" for k, v in zip('"\\\b\t\n\f\r', '"\\btnfr')}
+_SPECIAL = re.compile(r'[\x00-\x1f"\\]')
+
+
+def quoted(text: str) -> str:
+    return f'"{text.translate(_ESCAPED) if _SPECIAL.search(text) else text}"'
+
+
+def compose(own: list[Cell], made: list[Head], values: dict[Cell, list[str | None]], as_json: bool = False) -> Iterator[tuple[Cell, list[str], list[str]]]:
+    """Each cell of a block with the names of the headers that reach it, in order, and their texts.
+
+    As JSON there are no names, and the texts are members of an object (one or several each).
+    """
     by_name: dict[str, list[tuple[str, list[Cell]]]] = defaultdict(list)
     for _, at, tag, nice in made:
         if tag != "nothing":
             by_name[nice].append((tag, at))
-    names = sorted(by_name)
     lines = [sorted({x[axis] for x in own}) for axis in (0, 1)]
+    names: list[str] = []
     fixed: list[str | None] = []  # a text for all cells, or None
     varied: list[tuple[int, int, dict]] = []  # place of a name, axis, text by line
     several = []  # names of more than one header
-    for place, name in enumerate(names):
+    joins = False
+    for name in sorted(by_name):
+        tell = (lambda texts, key=quoted(name): f"{key}:{quoted(joined(texts))}") if as_json else joined
+        heads = by_name[name]
+        if len(heads) == 1 and heads[0][0] == "direct":
+            text = tell([x for cell in heads[0][1] for x in values[cell]])
+            if joins:
+                fixed[-1] = f"{fixed[-1]},{text}"
+            else:
+                names.append(name)
+                fixed.append(text)
+                joins = as_json
+            continue
+        joins = False
         found: dict[int | None, dict[int | None, set]] = defaultdict(lambda: defaultdict(set))
-        for tag, at in by_name[name]:
+        for tag, at in heads:
             if tag == "direct":
                 found[None][None].update(x for cell in at for x in values[cell])
                 continue
@@ -449,24 +485,28 @@ def compose(own: list[Cell], made: list[Head], values: dict[Cell, list[str | Non
                 position = served(tag, places, line)
                 if position is not None:
                     found[axis][line].update(texts[position])
+        if not found:
+            continue
+        place = len(names)
+        names.append(name)
         fixed.append(None)
         if len(found) > 1:
-            several.append((place, found))
-        for axis, parts in found.items() if len(found) == 1 else ():
-            told = {line: " ".join(sorted(x for x in texts if x is not None)) for line, texts in parts.items()}
+            several.append((place, tell, found))
+            continue
+        for axis, parts in found.items():
             if axis is None:
-                fixed[place] = told[None]
+                fixed[place] = tell(parts[None])
             else:
-                varied.append((place, axis, told))
+                varied.append((place, axis, {line: tell(texts) for line, texts in parts.items()}))
     for cell in own:
         texts = fixed.copy()
         whole = True
         for place, axis, told in varied:
             texts[place] = text = told.get(cell[axis])
             whole = whole and text is not None
-        for place, found in several:
+        for place, tell, found in several:
             reached = [parts[line] for axis, parts in found.items() for line in [None if axis is None else cell[axis]] if line in parts]
-            texts[place] = " ".join(sorted(x for x in set().union(*reached) if x is not None)) if reached else None
+            texts[place] = tell(set().union(*reached)) if reached else None
             whole = whole and bool(reached)
         if whole:
             yield cell, names, texts
@@ -475,6 +515,11 @@ def compose(own: list[Cell], made: list[Head], values: dict[Cell, list[str | Non
             yield cell, [names[k] for k in kept], [texts[k] for k in kept]
 
 
+def joined(texts: Iterable[str | None]) -> str:
+    """Distinct texts of one header in order."""
+    return " ".join(sorted({x for x in texts if x is not None}))
+
+
 def analyze(row: np.ndarray, col: np.ndarray, poa: np.ndarray, pov: np.ndarray, numeric: np.ndarray, options: Options) -> tuple[Labels, Labels, set[tuple[int, int]]]:
     """Data blocks, header blocks and the links between them of a sheet's cells."""
     known = ~(np.isnan(poa) | np.isnan(pov)) & (poa + pov > 0)
@@ -483,9 +528,9 @@ def analyze(row: np.ndarray, col: np.ndarray, poa: np.ndarray, pov: np.ndarray,
     attr = {at[i] for i in np.flatnonzero(known & (poa >= 0.5))}
     if not data or not attr:
         return {}, {}, set()
-    blocks, heads = impose(data, attr)
-    blocks = merge_fragments(blocks, heads)
-    major = best_of_group(axis_stats(members(blocks), members(heads)), True)
+    blocks, heads, parts = impose(data, attr)
+    blocks = merge_fragments(blocks, heads, parts)
+    major = best_of_group(axis_stats(representatives(members(blocks)), representatives(members(heads))), True)
     blocks, major = merge_blocks(blocks, heads, major, options)
     links = {k[:2] for k in major} | minor_links(blocks, heads, major)
     if options.single_block_filter:

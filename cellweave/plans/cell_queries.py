@@ -317,8 +317,7 @@ def analyze_sheets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def compose_sheets(spark: SparkSession, d: str) -> DataFrame:
-    rows = compose.composed(_untyped(spark, d), BY, classify=lambda cells: typing.classify(cells.distinct(), BY))
-    return rows.withColumn("attr", F.to_json("attr"))
+    return compose.composed(_untyped(spark, d), BY, classify=lambda cells: typing.classify(cells.distinct(), BY), as_json=True)
 
 
 @query("select n_regionkey, n_name, dense_rank() over (partition by n_regionkey order by length(n_name), n_name) as r from nation")

@@ -346,6 +346,10 @@ def test_composed_in_tasks_and_by_joins_agree(spark, monkeypatch):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
             for options, rows_of in expected.items():
                 assert key(compose.composed(df, ["s"], options)) == rows_of
+        text = lambda found: Counter(map(tuple, found.collect()))
+        for options in expected:
+            as_map = compose.composed(df.replace({"é": 'é"\\\x01\n\u2028'}), ["s"], options).withColumn("attr", F.to_json("attr"))
+            assert text(compose.composed(df.replace({"é": 'é"\\\x01\n\u2028'}), ["s"], options, as_json=True)) == text(as_map)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     monkeypatch.setattr(blocks, "SHEET_CELLS", 45)  # some sheets by joins
